@@ -10,6 +10,7 @@ from ..sources import table
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .minhash import near_duplicates
 from .pieces import round_trip
 from .secrets import report, scan_secrets
 from .token_files import read_token_files, write_token_files
@@ -23,6 +24,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
@@ -62,6 +67,7 @@ FROM d JOIN g ON d.t = g.t
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
