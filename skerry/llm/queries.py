@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .minhash import near_duplicates
 from .pieces import round_trip
+from .quality import score_quality
 from .secrets import report, scan_secrets
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
@@ -28,6 +29,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
@@ -68,6 +73,7 @@ FROM d JOIN g ON d.t = g.t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_quality": op2_quality,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
