@@ -188,3 +188,9 @@ def exact_dedup(docs: DataFrame, forget: DataFrame | None = None) -> DataFrame:
             F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"),
         )
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps; doc_id names a document."""
+    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_copy"], "left_anti")

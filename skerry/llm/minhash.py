@@ -192,3 +192,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "rep", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its component."""
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_copy"], "left_anti")

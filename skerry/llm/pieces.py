@@ -208,13 +208,16 @@ def transducer(path: str) -> Transducer:
     return _COMPILED[path]
 
 
+def listed(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = transducer(path)
     for b in slices(batches):
         ids = t.batch([x or "" for x in b.column("text").to_pylist()])
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        values = np.concatenate(ids).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), listed(ids)], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
@@ -239,7 +242,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, model), "doc_id long, text string")
 
 
-def _trip(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trip(path: str, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = transducer(path)
     for b in slices(batches):
         raw = text_bytes(b.column("text"))
@@ -248,12 +251,17 @@ def _trip(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         same = [t.decode(i.tolist()) == x.replace(BLANK, " ") for i, x in zip(ids, texts, strict=True)]
         sums = [zlib.crc32(i.tobytes()) for i in ids]
         columns = [b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
+        names = ["doc_id", "n_pieces", "ids_crc32", "round_trip"]
+        if with_ids:
+            columns.append(listed(ids))
+            names.append("ids")
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def round_trip(docs: DataFrame, model: str) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every whole text in one pass: doc_id, n_pieces, ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers) and whether decoding gives the text back (blanks as the
-    model writes them). Empty cases as in ``encode``."""
+    model writes them), with the ids themselves if asked for. Empty cases as in ``encode``."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_trip, model), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(partial(_trip, model, with_ids), schema)

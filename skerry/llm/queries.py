@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .pieces import round_trip
 from .quality import score_quality
 from .secrets import report, scan_secrets
+from .substring_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
 
@@ -49,6 +50,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
