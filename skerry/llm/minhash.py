@@ -1,15 +1,15 @@
 """Near-duplicate components by bottom-k sketches of one hash function.
 
 A document's set is hashed once; the k smallest hashes are its sketch. Runs of neighbouring retained
-values (three in a row, pairs for small sets) are the terms of inverted lists, so that two documents
-meet in a list only where their sketches overlap. At a similarity of 0.8 a union sketch of 40 values
-has no common run of three with a probability below 1e-6, and none is possible for sets that the
-sketch holds whole. Documents with the same set form a class first, and its smallest doc_id stands for it.
+values (four in a row, fewer for small sets) are the terms of inverted lists, so that two documents
+meet in a list only where their sketches overlap. At a similarity of 0.8 a union sketch of 64 values
+is without a common run of four with a probability of about 0.8 ** 64 < 1e-6; sets that the sketch
+holds whole always have one. Documents with the same set form a class first, and its smallest doc_id stands for it.
 
 Pairs are not made out of whole lists: in each list every member meets the list's first member; union
 sketches estimate their similarity, and the exact Jaccard of the full sets confirms a link. What the
-links leave apart within a list is then compared across its components, in blocks of bounded size, until
-no list has an uncompared pair of different components. So no link between components is lost, and a
+links leave apart within a list is then compared across its components by sketches, and exactly where
+these do not exclude a link, so no list has an uncompared pair of different components. So no link between components is lost, and a
 group of thousands of copies costs one comparison for each member and leader.
 """
 
@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import partitions, slices, text_bytes, written
 
-K = 40
+K = 64
 #: A pair is dropped unread if its estimate is this many standard deviations below the threshold.
 DEVIATIONS = 5.0
 #: Members that one group of the exact check holds; larger groups are split, with their leader in each part.
 SPLIT = 4096
-#: Pairs of one round across components.
-ROUND = 4_000_000
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -146,10 +144,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     classes = rows.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
     rows = written(rows.join(classes, "print", "left").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "classes")
     reps = rows.where("sketch is not null").select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
-    # Inverted lists, of two members at least. Sizes 8 to 15 have both kinds of runs, so any two linked sets share a kind.
+    # Inverted lists, of two members at least. The kinds of runs overlap in sizes, so any two linked sets share
+    # a kind; a union of more than 15 (5, 1) values of which 80 % are common has a common run of 4 (3, 2).
     runs = F.expr("""concat(
-        if(n >= 8, transform(sequence(0, size(sketch) - 3), i -> xxhash64(sketch[i], sketch[i + 1], sketch[i + 2])), array()),
-        if(n between 2 and 15, transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1])), array()))""")
+        if(n >= 16, transform(sequence(0, size(sketch) - 4), i -> xxhash64(sketch[i], sketch[i + 1], sketch[i + 2], sketch[i + 3])), array()),
+        if(n between 6 and 19, transform(sequence(0, size(sketch) - 3), i -> xxhash64(sketch[i], sketch[i + 1], sketch[i + 2])), array()),
+        if(n between 2 and 7, transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1])), array()))""")
     postings = reps.select(F.explode(runs).alias("term"), "rep", "n")
     heads = postings.groupBy("term").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
     lists = written(postings.join(heads, "term"), "lists")
@@ -168,24 +168,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     links = written(linked(stars).where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "links")
     tested = written(lists.where(F.col("rep") != F.col("head.rep")).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
     labels = components(links)
-    # Across the components of each list; afterwards every pair of different components is compared.
-    named = lists.join(labels, lists["rep"] == labels["node"], "left").select("term", "rep", "n", F.coalesce("component", "rep").alias("component"), F.col("head.rep").alias("head"))
-    heads = named.where("rep = head").select("term", F.col("component").alias("main"))
-    named = written(named.join(heads, "term"), "named")
-    apart = named.where("component <> main")
-    count = apart.groupBy("term").agg(F.count(F.lit(1)).alias("x")).join(named.groupBy("term").agg(F.count(F.lit(1)).alias("y")), "term")
-    total = count.agg(F.sum(F.col("x").cast("double") * F.col("y"))).first()[0] or 0.0
-    rounds, found = int(total // ROUND) + 1, 0
-    for r in range(rounds if total else 0):
-        part = named.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(rounds)) == r).select("term", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-        across = apart.join(part, "term").where((F.col("component") != F.col("c2")) & close(F.col("n"), F.col("n2")))
-        fresh = across.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = written(fresh, "fresh")
-        more = written(linked(fresh).where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "links")
-        found += more.limit(1).count()
-        links, tested = links.union(more), tested.union(fresh)
-    if found:
-        labels = components(links)
+    # Across the components of each list; afterwards every pair of different components is compared. The
+    # join's condition reads the sketches, so only what they cannot exclude comes out of it.
+    named = lists.join(labels, lists["rep"] == labels["node"], "left").select("term", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed_terms = named.groupBy("term").agg(F.min("component").alias("main"), F.max("component").alias("last")).where("main <> last").select("term", "main")
+    named = written(named.join(mixed_terms, "term").join(sketches, "rep"), "named")
+    apart = named.where("component <> main").select("term", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("sketch").alias("s1"))
+    least = F.lit(floor) * F.least(F.lit(k), F.greatest("n", "n1"))
+    different = (F.col("component") != F.col("c1")) & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("r1")))
+    across = named.join(apart, (named["term"] == apart["term"]) & different & close(F.col("n"), F.col("n1")) & (F.size(F.array_intersect("sketch", "s1")) >= least))
+    fresh = across.select(F.least("rep", "r1").alias("a"), F.greatest("rep", "r1").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    more = written(linked(fresh).where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
     return rows.join(labels, rows["rep"] == labels["node"], "left").select(
         "doc_id",
         "n_shingles",
