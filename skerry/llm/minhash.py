@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(docs.mapInArrow(partial(_sketches, width, k), "doc_id long, n_shingles long, print binary, sketch array<long>"), "sketches")
     classes = rows.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    rows = written(rows.join(classes, "print", "left").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "classes")
+    rows = written(rows.join(classes, "print", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "classes")
     reps = rows.where("sketch is not null").select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
     # Inverted lists, of two members at least. The kinds of runs overlap in sizes, so any two linked sets share
     # a kind; a union of more than 15 (5, 1) values of which 80 % are common has a common run of 4 (3, 2).
