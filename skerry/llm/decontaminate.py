@@ -78,6 +78,8 @@ def aligned(item: str, text: str, low: int, high: int, edits: int) -> tuple[int,
         best[:-1] = np.minimum(best[:-1], rows[i - 1][1:] + 1)  # a character of the item is missing
         best[(j < 0) | (j > len(t))] = far
         rows[i] = np.minimum.accumulate(best - steps) + steps  # the text has one more
+        if not i % 8 and rows[i].min() > edits:  # the least of a row never falls again
+            return None
     end = int(rows[m].argmin())
     distance = int(rows[m][end])
     if distance > edits:
@@ -155,6 +157,8 @@ def matches(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int
             if (d, i, low) in seen:
                 continue
             seen.add((d, i, low))
+            if best.get((d, i), (1,))[0] == 0:
+                continue
             e = int(items.edits[i])
             found = aligned(items.texts[i], texts[d], low - e, low + 2 * h + e, e)
             if found and ((d, i) not in best or found < best[d, i]):
