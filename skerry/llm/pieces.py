@@ -30,8 +30,10 @@ from .common import slices, text_bytes
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Entries that a worker keeps of its cut cache; beyond, cuts are encoded once for each batch.
-CACHE = 400_000
+#: Entries that a worker keeps of its caches (whole cuts; cuts without their last character where no
+#: piece spans it, such as a full stop); beyond, each is encoded once for each batch.
+CACHE = 300_000
+STEMS = 900_000
 PAIRS = 1_000_000
 
 
@@ -94,15 +96,18 @@ class Transducer:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.bytes_of = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.output = [self._written(p, k) for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.alphabet = {c for p in self.ids for c in p}
+        self.arcs = {p[:i]: -1 for p in self.ids for i in range(1, len(p))} | self.ids  # -1: on the way to a piece
+        alphabet = {c for p in self.ids for c in p}
         self.longest = max(map(len, self.ids))
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("pieces with inner blanks are not compiled here")
         # Cuts: blanks with what follows them; line breaks, unless pieces have them, alone.
-        self.cut = re.compile(" *[^ \n]+| +|\n" if "\n" not in self.alphabet else " *[^ ]+| +").findall
+        self.cut = re.compile(" *[^ \n]+| +|\n" if "\n" not in alphabet else " *[^ ]+| +").findall
         self.least = min(self.scores) - 10
         self.cuts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.stems: dict[str, bytes] = {}
+        self.inside = {p[i : i + 2].replace(BLANK, " ") for p in self.ids for i in range(len(p) - 1)}
+        self.pairs: dict[int, bool] = {}
 
     @staticmethod
     def _written(piece: str, kind: int) -> bytes:
@@ -128,64 +133,87 @@ class Transducer:
         return parts
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the transition from one piece to another has a finite weight."""
-        key = (left, right)
+        """Whether the transition from one piece to another has a finite weight; -1 is the start, or a
+        character outside all pieces, behind which any piece fits that is the encoding of its own text."""
+        key = (left + 1 << 32) + right
         known = self.pairs.get(key)
         if known is None:
-            a, b = self.pieces[left], self.pieces[right]
-            known = self.merged(a + b) == [a, b]
+            b = self.pieces[right]
+            known = self.merged(self.pieces[left] + b) == [self.pieces[left], b] if left >= 0 else len(self.merged(b)) == 1
             if len(self.pairs) < PAIRS:
                 self.pairs[key] = known
         return known
 
     def shortest(self, text: str) -> list[int]:
         """Ids of the shortest path through the lattice of ``text`` (blanks as U+2581)."""
-        n, ids, alphabet = len(text), self.ids, self.alphabet
-        back: list[tuple[int, int] | None] = [None] * (n + 1)  # (start, piece) of the last step; -1: fallback
-        weight = [0.0] + [float("inf")] * n
-        for end in range(1, n + 1):
-            if text[end - 1] not in alphabet:
-                back[end] = (end - 1, -1)
-                weight[end] = weight[end - 1] - self.least
-                continue
-            for start in range(max(0, end - self.longest), end):
-                k = ids.get(text[start:end])
-                if k is None:
-                    continue
-                if self.bpe:
-                    last = back[start][1] if start else -1
-                    if self.fits(last, k) if last >= 0 else self.whole(k):
-                        back[end] = (start, k)
-                        break
-                elif weight[start] - self.scores[k] < weight[end]:
-                    back[end], weight[end] = (start, k), weight[start] - self.scores[k]
-            if back[end] is None:
-                back[end] = (end - 1, -1)
-                weight[end] = weight[end - 1] - self.least
+        n = len(text)
+        piece: list[int | None] = [None] * (n + 1)  # of the last step to each place; -1: fallback
+        came = [0] * (n + 1)
+        (self._pairwise if self.bpe else self._additive)(text, n, piece, came)
         out: list[int] = []
         end = n
         while end:
-            start, k = back[end]
+            k = piece[end]
             if k >= 0:
                 out.append(k)
             else:
-                raw = text[start:end].encode("utf-8", "surrogatepass")
+                raw = text[came[end] : end].encode("utf-8", "surrogatepass")
                 out += [self.bytes_of[b] for b in reversed(raw)] if self.bytes_of else [self.unknown]
-            end = start
+            end = came[end]
         return out[::-1]
 
-    def whole(self, k: int) -> bool:
-        """Whether a piece is the encoding of its own text."""
-        known = self.pairs.get((-1, k))
-        if known is None:
-            known = self.pairs[-1, k] = len(self.merged(self.pieces[k])) == 1
-        return known
+    def _pairwise(self, text: str, n: int, piece: list[int | None], came: list[int]) -> None:
+        """Weights of 0 and infinity on transitions: each place has one finite path, so the first one found is it."""
+        arcs, pairs, fits, longest = self.arcs, self.pairs, self.fits, self.longest
+        left = -1
+        for start in range(n):
+            if start:
+                left = piece[start]
+                if left is None:
+                    left = piece[start] = -1
+                    came[start] = start - 1
+            base = left + 1 << 32
+            for end in range(start + 1, min(start + longest, n) + 1):
+                k = arcs.get(text[start:end])
+                if k is None:
+                    break
+                if k >= 0 and piece[end] is None:
+                    known = pairs.get(base + k)
+                    if known or known is None and fits(left, k):
+                        piece[end] = k
+                        came[end] = start
+        if n and piece[n] is None:
+            piece[n] = -1
+            came[n] = n - 1
+
+    def _additive(self, text: str, n: int, piece: list[int | None], came: list[int]) -> None:
+        """Negative scores as weights; a character outside all pieces weighs more than any piece."""
+        weight = [0.0] + [float("inf")] * n
+        for start in range(n):
+            for end in range(start + 1, min(start + self.longest, n) + 1):
+                k = self.arcs.get(text[start:end])
+                if k is None:
+                    break
+                if k >= 0 and weight[start] - self.scores[k] < weight[end]:
+                    weight[end], piece[end], came[end] = weight[start] - self.scores[k], k, start
+            if piece[start + 1] is None:
+                weight[start + 1], piece[start + 1], came[start + 1] = weight[start] - self.least, -1, start
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.cut(self.prefix + t) if t else [] for t in (t.replace(BLANK, " ") for t in texts)]
         distinct = set().union(*split)
         found = {c: self.cuts[c] for c in distinct if c in self.cuts}
-        new = {c: np.array(self.shortest(c.replace(" ", BLANK)), "<u4").tobytes() for c in distinct.difference(found)}
+        # No merge joins two characters that no piece has side by side, so a cut can be split there.
+        parts = {c: (c[:-1], c[-1]) if len(c) > 1 and c[-2:] not in self.inside else (c, "") for c in distinct.difference(found)}
+        stems = {"": b""}
+        for stem in {x for pair in parts.values() for x in pair if x}:
+            ids = self.stems.get(stem)
+            if ids is None:
+                ids = np.array(self.shortest(stem.replace(" ", BLANK)), "<u4").tobytes()
+                if len(self.stems) < STEMS:
+                    self.stems[stem] = ids
+            stems[stem] = ids
+        new = {c: stems[a] + stems[b] for c, (a, b) in parts.items()}
         room = CACHE - len(self.cuts)
         if room > 0:
             self.cuts.update(list(new.items())[:room])
