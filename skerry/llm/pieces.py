@@ -98,7 +98,8 @@ class Transducer:
         self.output = [self._written(p, k) for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.arcs = {p[:i]: -1 for p in self.ids for i in range(1, len(p))} | self.ids  # -1: on the way to a piece
         alphabet = {c for p in self.ids for c in p}
-        self.longest = max(map(len, self.ids))
+        self.lengths = list(map(len, self.pieces))
+        self.shorter = [next((self.ids[p[:i]] for i in range(len(p) - 1, 0, -1) if p[:i] in self.ids), -1) for p in self.pieces]
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("pieces with inner blanks are not compiled here")
         # Cuts: blanks with what follows them; line breaks, unless pieces have them, alone.
@@ -146,58 +147,74 @@ class Transducer:
 
     def shortest(self, text: str) -> list[int]:
         """Ids of the shortest path through the lattice of ``text`` (blanks as U+2581)."""
-        n = len(text)
-        piece: list[int | None] = [None] * (n + 1)  # of the last step to each place; -1: fallback
-        came = [0] * (n + 1)
-        (self._pairwise if self.bpe else self._additive)(text, n, piece, came)
         out: list[int] = []
-        end = n
-        while end:
-            k = piece[end]
+        at = 0
+        for k in self._finite(text) if self.bpe else self._additive(text):
             if k >= 0:
                 out.append(k)
+                at += self.lengths[k]
             else:
-                raw = text[came[end] : end].encode("utf-8", "surrogatepass")
-                out += [self.bytes_of[b] for b in reversed(raw)] if self.bytes_of else [self.unknown]
-            end = came[end]
-        return out[::-1]
-
-    def _pairwise(self, text: str, n: int, piece: list[int | None], came: list[int]) -> None:
-        """Weights of 0 and infinity on transitions: each place has one finite path, so the first one found is it."""
-        arcs, pairs, fits, longest = self.arcs, self.pairs, self.fits, self.longest
-        left = -1
-        for start in range(n):
-            if start:
-                left = piece[start]
-                if left is None:
-                    left = piece[start] = -1
-                    came[start] = start - 1
-            base = left + 1 << 32
-            for end in range(start + 1, min(start + longest, n) + 1):
-                k = arcs.get(text[start:end])
-                if k is None:
-                    break
-                if k >= 0 and piece[end] is None:
-                    known = pairs.get(base + k)
+                raw = text[at].encode("utf-8", "surrogatepass")
+                out += [self.bytes_of[b] for b in raw] if self.bytes_of else [self.unknown]
+                at += 1
+        return out
+
+    def _finite(self, text: str) -> list[int]:
+        """Weights of 0 and infinity on transitions leave one finite path for every prefix, so a search from
+        the longest arcs on may leave a place for good once it found no way on from there."""
+        arcs, pairs, fits, shorter, lengths = self.arcs, self.pairs, self.fits, self.shorter, self.lengths
+        n, at, left = len(text), 0, -1
+        path: list[int] = []
+        closed: set[int] = set()
+        k = -2  # -2: not looked for, -1: none left
+        while at < n:
+            if k == -2:
+                k = -1
+                for end in range(at + 1, n + 1):
+                    further = arcs.get(text[at:end])
+                    if further is None:
+                        break
+                    if further >= 0:
+                        k = further
+                if k < 0:
+                    path.append(-1)  # a character outside all pieces
+                    at, left, k = at + 1, -1, -2
+                    continue
+            while k >= 0:
+                if at + lengths[k] not in closed:
+                    known = pairs.get((left + 1 << 32) + k)
                     if known or known is None and fits(left, k):
-                        piece[end] = k
-                        came[end] = start
-        if n and piece[n] is None:
-            piece[n] = -1
-            came[n] = n - 1
+                        break
+                k = shorter[k]
+            if k >= 0:
+                path.append(k)
+                at, left, k = at + lengths[k], k, -2
+            elif path and path[-1] >= 0:
+                closed.add(at)
+                k = path.pop()
+                at, left, k = at - lengths[k], path[-1] if path else -1, shorter[k]
+            else:
+                raise ValueError(f"no path through {text!r}")
+        return path
 
-    def _additive(self, text: str, n: int, piece: list[int | None], came: list[int]) -> None:
+    def _additive(self, text: str) -> list[int]:
         """Negative scores as weights; a character outside all pieces weighs more than any piece."""
-        weight = [0.0] + [float("inf")] * n
+        n = len(text)
+        weight, piece = [0.0] + [float("inf")] * n, [-1] * (n + 1)
         for start in range(n):
-            for end in range(start + 1, min(start + self.longest, n) + 1):
+            for end in range(start + 1, n + 1):
                 k = self.arcs.get(text[start:end])
                 if k is None:
                     break
                 if k >= 0 and weight[start] - self.scores[k] < weight[end]:
-                    weight[end], piece[end], came[end] = weight[start] - self.scores[k], k, start
-            if piece[start + 1] is None:
-                weight[start + 1], piece[start + 1], came[start + 1] = weight[start] - self.least, -1, start
+                    weight[end], piece[end] = weight[start] - self.scores[k], k
+            if weight[start + 1] == float("inf"):
+                weight[start + 1] = weight[start] - self.least
+        path = []
+        while n:
+            path.append(piece[n])
+            n -= self.lengths[piece[n]] if piece[n] >= 0 else 1
+        return path[::-1]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.cut(self.prefix + t) if t else [] for t in (t.replace(BLANK, " ") for t in texts)]
