@@ -11,22 +11,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Word bytes of the corpus contracts: everything but space and \t..\r.
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a folder is made and set here.
-    """
-    made = spark.sparkContext.getCheckpointDir()
-    at = spark.conf.get("spark.checkpoint.dir", None) or made
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="skerry-")
-    if not made:
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+from ..storage import shared_dir
 
 
 def work_path(spark: SparkSession, name: str) -> str:
