@@ -15,8 +15,7 @@ from skerry.llm.exact_dedup import without_copies
 from skerry.llm.minhash import without_near_copies
 from skerry.llm.pieces import round_trip
 from skerry.llm.quality import good_documents
-from skerry.llm.queries import vocabulary
-from skerry.sources import table
+from skerry.llm.queries import table, vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import table
+from ..sources import table as read_table
+from .common import ship
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
@@ -19,6 +20,12 @@ from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a dataset; whoever reads one to run an operator needs this package on the executors."""
+    ship(spark)
+    return read_table(spark, sf_dir, name)
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
