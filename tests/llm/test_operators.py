@@ -208,7 +208,7 @@ def test_op9_is_its_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({Q.OP9_SQL}) t").fetchall())
+    want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({Q.OP9_SQL}) t").fetchall(), key=repr)
     assert rows_of(Q.op9_exact_dedup(spark, sf), *columns) == want
 
 
