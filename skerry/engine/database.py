@@ -57,8 +57,7 @@ class Database:
 
     def create(self, name: str, rows: Iterable[dict]) -> None:
         """Rows of dictionaries as a table, with inferred kinds."""
-        for row in rows:
-            dml.insert_rows(self, name.lower(), [row], self.force_wipe)
+        dml.insert_rows(self, name.lower(), list(rows), self.force_wipe)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(name)

@@ -107,6 +107,12 @@ def test_persistence_and_log(spark, db, tmp_path):
         assert x.tables["m"].enums == {"s": ["x"]}
 
 
+def test_create_from_dictionaries(db):
+    db.create("d", [{"a": 1}, {"a": 2.5, "b": {"x": [1]}}, {"b": None}])
+    assert db.kinds("d") == {"a": Kind.FLOAT, "b": Kind.JSON}
+    assert rows(db.query("SELECT a, b->>'$.x' AS x FROM d ORDER BY a")) == [(None, None), (1.0, None), (2.5, "[1]")]
+
+
 def test_ddl(db):
     db.exec("INSERT INTO t (name, id) VALUES ('a', 1)")
     db.declare_enum("t", "name", ["a", "b"])
