@@ -8,8 +8,10 @@ holds whole always have one. Documents with the same set form a class first, and
 
 Pairs are not made out of whole lists: in each list every member meets the list's first member; union
 sketches estimate their similarity, and the exact Jaccard of the full sets confirms a link. What the
-links leave apart within a list is then compared across its components by sketches, and exactly where
-these do not exclude a link, so no list has an uncompared pair of different components. So no link between components is lost, and a
+links leave apart within a list is then compared across its components, so no list has an uncompared pair
+of different components. Members that met the same first member carry what their sets lack of its set
+and have beyond it, from which their own intersection follows exactly; others are compared by sketches,
+and exactly where these do not exclude a link. So no link between components is lost, and a
 group of thousands of copies costs one comparison for each member and leader.
 """
 
@@ -83,17 +85,22 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (a, part, b), the set of a itself (b is null) first in each part."""
     at, leader = None, None
+    values = pa.list_(pa.int64())
     for batch in batches:
-        out = []
+        out, minus, plus = [], [], []
         for a, part, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "set")), strict=True):
             own = np.frombuffer(data, np.int64)
             if b is None:
                 at, leader = (a, part), own
             elif at == (a, part):
-                both = len(np.intersect1d(leader, own, assume_unique=True))
+                there = np.isin(own, leader, assume_unique=True)
+                both = int(there.sum())
                 out.append((a, b, both, len(leader) + len(own) - both))
+                minus.append(np.setdiff1d(leader, own, assume_unique=True))
+                plus.append(own[~there])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "both", "either"])
+            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(minus, values), pa.array(plus, values)], ["a", "b", "both", "either", "minus", "plus"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -117,7 +124,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(a, b, both, either) of the full sets. Groups of one leader are split into parts of bounded size."""
+    """(a, b, both, either, minus, plus) of the full sets: sizes of intersection and union, and the members of
+    either alone. Groups of one leader are split into parts of bounded size."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
     members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     leaders = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
@@ -125,7 +133,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     rows = docs.join(wanted, "doc_id").select("a", "part", "b", "text")
     sets = rows.mapInArrow(partial(_sets, width), "a long, part int, b long, set binary")
     n = partitions(docs.sparkSession)
-    return sets.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_compared, "a long, b long, both long, either long")
+    return sets.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_compared, "a long, b long, both long, either long, minus array<long>, plus array<long>")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -165,20 +173,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         return _confirmed(docs, written(likely, "pairs"), width)
 
     stars = lists.where(F.col("rep") != F.col("head.rep")).where(close(F.col("n"), F.col("head.n"))).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(linked(stars).where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "links")
+    checked = written(linked(stars), "checked")
+    links = checked.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
     tested = written(lists.where(F.col("rep") != F.col("head.rep")).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
     labels = components(links)
     # Across the components of each list; afterwards every pair of different components is compared. The
-    # join's condition reads the sketches, so only what they cannot exclude comes out of it.
-    named = lists.join(labels, lists["rep"] == labels["node"], "left").select("term", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    # join's condition reads differences and sketches, so only what they cannot exclude comes out of it.
+    named = lists.join(labels, lists["rep"] == labels["node"], "left").select("term", "rep", "n", F.coalesce("component", "rep").alias("component"), F.col("head.rep").alias("head"), F.col("head.n").alias("size"))
     mixed_terms = named.groupBy("term").agg(F.min("component").alias("main"), F.max("component").alias("last")).where("main <> last").select("term", "main")
-    named = written(named.join(mixed_terms, "term").join(sketches, "rep"), "named")
-    apart = named.where("component <> main").select("term", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("sketch").alias("s1"))
+    unlike = checked.select(F.col("a").alias("head"), F.col("b").alias("rep"), "minus", "plus")
+    none = F.when(F.col("rep") == F.col("head"), F.array().cast("array<long>"))
+    named = named.join(mixed_terms, "term").join(sketches, "rep").join(unlike, ["head", "rep"], "left")
+    named = written(named.withColumns({"minus": F.coalesce("minus", none), "plus": F.coalesce("plus", none)}), "named")
+    apart = named.where("component <> main").select("term", *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "component", "sketch", "minus", "plus")))
+    different = (F.col("component") != F.col("component1")) & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("rep1")))
+    known = F.col("minus").isNotNull() & F.col("minus1").isNotNull()
+    common = F.col("size") - F.size(F.array_union("minus", "minus1")) + F.size(F.array_intersect("plus", "plus1"))
     least = F.lit(floor) * F.least(F.lit(k), F.greatest("n", "n1"))
-    different = (F.col("component") != F.col("c1")) & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("r1")))
-    across = named.join(apart, (named["term"] == apart["term"]) & different & close(F.col("n"), F.col("n1")) & (F.size(F.array_intersect("sketch", "s1")) >= least))
-    fresh = across.select(F.least("rep", "r1").alias("a"), F.greatest("rep", "r1").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(linked(fresh).where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "links")
+    possible = F.when(known, 100 * common >= percent * (F.col("n") + F.col("n1") - common)).otherwise(F.size(F.array_intersect("sketch", "sketch1")) >= least)
+    across = named.join(apart, (named["term"] == apart["term"]) & different & close(F.col("n"), F.col("n1")) & possible)
+    across = written(across.select(F.least("rep", "rep1").alias("a"), F.greatest("rep", "rep1").alias("b"), known.alias("known")).distinct(), "across")
+    more = linked(across.where("NOT known").select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    more = written(more.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b").union(across.where("known").select("a", "b")), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
     return rows.join(labels, rows["rep"] == labels["node"], "left").select(
