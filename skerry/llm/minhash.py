@@ -190,7 +190,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     known = F.col("minus").isNotNull() & F.col("minus1").isNotNull()
     common = F.col("size") - F.size(F.array_union("minus", "minus1")) + F.size(F.array_intersect("plus", "plus1"))
     least = F.lit(floor) * F.least(F.lit(k), F.greatest("n", "n1"))
-    possible = F.when(known, 100 * common >= percent * (F.col("n") + F.col("n1") - common)).otherwise(F.size(F.array_intersect("sketch", "sketch1")) >= least)
+    # Sizes alone bound the intersection from above, before any differences are joined.
+    bound = F.col("size") - F.greatest(F.size("minus"), F.size("minus1")) + F.least(F.size("plus"), F.size("plus1"))
+    enough = 100 * bound >= percent * (F.col("n") + F.col("n1") - bound)
+    possible = F.when(known & ~enough, F.lit(False)).when(known, 100 * common >= percent * (F.col("n") + F.col("n1") - common)).otherwise(F.size(F.array_intersect("sketch", "sketch1")) >= least)
     across = named.join(apart, (named["term"] == apart["term"]) & different & close(F.col("n"), F.col("n1")) & possible)
     across = written(across.select(F.least("rep", "rep1").alias("a"), F.greatest("rep", "rep1").alias("b"), known.alias("known")).distinct(), "across")
     more = linked(across.where("NOT known").select("a", "b").join(tested, ["a", "b"], "left_anti"))
