@@ -30,8 +30,12 @@ HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qII")
 TAIL = struct.Struct("<I")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n", "<i8")])
-#: Entries that a worker keeps of its word cache; beyond, words are encoded once for each batch.
-CACHE = 400_000
+#: Entries that a worker keeps of its caches (words, and the parts they consist of); beyond, each is
+#: encoded once for each batch.
+WORDS = 300_000
+PARTS = 900_000
+#: Bytes of text that are encoded together.
+SLICE = 4 << 20
 
 
 def masked(crc: int) -> int:
@@ -70,8 +74,8 @@ class Encoder:
 
     def _encode_parts(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of pre-tokens, all in one call; a pre-token's last id is the only one with a word end."""
-        known = {p: self.parts[p] for p in parts if p in self.parts}
-        new = [p for p in parts if p not in known]
+        known = {p: self.parts[p] for p in parts & self.parts.keys()}
+        new = list(parts.difference(known))
         if new:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -82,7 +86,7 @@ class Encoder:
                     at = end
             else:
                 known.update(zip(new, self.whole(new), strict=True))
-            room = CACHE - len(self.parts)
+            room = PARTS - len(self.parts)
             self.parts.update((p, known[p]) for p in new[: max(0, room)])
         return known
 
@@ -90,7 +94,8 @@ class Encoder:
         odd = {i: None for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         distinct = set().union(*split)
-        found = {w: self.words[w] for w in distinct if w in self.words}
+        words = self.words
+        found = {w: words[w] for w in distinct & words.keys()}
         simple, hard = {}, []
         for w in distinct.difference(found):
             if s := self._simple(w):
@@ -101,7 +106,7 @@ class Encoder:
         new = {w: parts[a] + parts[b] if b else parts[a] for w, (a, b) in simple.items()}
         if hard:
             new.update(zip(hard, self.whole(hard), strict=True))
-        room = CACHE - len(self.words)
+        room = WORDS - len(self.words)
         if room > 0:
             self.words.update(list(new.items())[:room])
         found.update(new)
@@ -128,7 +133,7 @@ def _write(folder: str, tokenizer: str, end_id: int, batches: Iterator[pa.Record
     leaf = f"{part:06d}-{uuid.uuid4().hex}"
     out, index, at, total = None, [], 0, 0
     end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
-    for b in slices(batches):
+    for b in slices(batches, limit=SLICE):
         if out is None:
             fs.create_dir(base, recursive=True)
             out = fs.open_output_stream(f"{base}/{leaf}.ids.tmp", compression=None, buffer_size=1 << 20)
