@@ -6,10 +6,11 @@ meet in a list only where their sketches overlap. At a similarity of 0.8 a union
 is without a common run of four with a probability of about 0.8 ** 64 < 1e-6; sets that the sketch
 holds whole always have one. Documents with the same set form a class first, and its smallest doc_id stands for it.
 
-Pairs are not made out of whole lists: in each list every member meets the list's first member; union
+Pairs are not made out of whole lists: in each list every member meets the list's head, the member whose
+own lists are the longest in all (the text that the others were copied from, as a rule); union
 sketches estimate their similarity, and the exact Jaccard of the full sets confirms a link. What the
 links leave apart within a list is then compared across its components, so no list has an uncompared pair
-of different components. Members that met the same first member carry what their sets lack of its set
+of different components. Members that met the same head carry what their sets lack of its set
 and have beyond it, from which their own intersection follows exactly; others are compared by sketches,
 and exactly where these do not exclude a link. So no link between components is lost, and a
 group of thousands of copies costs one comparison for each member and leader.
@@ -34,6 +35,8 @@ K = 64
 DEVIATIONS = 5.0
 #: Members that one group of the exact check holds; larger groups are split, with their leader in each part.
 SPLIT = 4096
+#: Rows of two numbers that may be broadcast, about 32 MB.
+BROADCAST_ROWS = 1_000_000
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -123,6 +126,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if its counted rows (of a few numbers each) stay below a fixed bound; beyond
+    it the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """(a, b, both, either, minus, plus) of the full sets: sizes of intersection and union, and the members of
     either alone. Groups of one leader are split into parts of bounded size."""
@@ -159,10 +168,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         if(n between 6 and 19, transform(sequence(0, size(sketch) - 3), i -> xxhash64(sketch[i], sketch[i + 1], sketch[i + 2])), array()),
         if(n between 2 and 7, transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1])), array()))""")
     postings = reps.select(F.explode(runs).alias("term"), "rep", "n")
-    heads = postings.groupBy("term").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    lists = written(postings.join(heads, "term"), "lists")
+    sizes = postings.groupBy("term").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    lists = written(postings.join(sizes, "term"), "lists")
+    scores = lists.groupBy("rep").agg(F.sum("members").alias("score"))
+    ids = written(scores, "members")
+    ids = small(ids, ids.count())
+    sketches = written(reps.join(ids.select("rep"), "rep").select("rep", "sketch"), "member_sketches")
+    texts = docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    scored = lists.join(ids, "rep")
+    heads = scored.groupBy("term").agg(F.max(F.struct("score", (-F.col("rep")).alias("order"), "rep", "n")).alias("head"))
+    lists = written(lists.join(heads, "term"), "lists")
     close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    sketches = reps.select("rep", "sketch")
     floor = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / k) ** 0.5
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -170,12 +186,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
         likely = pairs.join(s, "a").join(t, "b").where(common >= F.lit(floor) * F.size(union)).select("a", "b")
-        return _confirmed(docs, written(likely, "pairs"), width)
+        return _confirmed(texts, written(likely, "pairs"), width)
 
     stars = lists.where(F.col("rep") != F.col("head.rep")).where(close(F.col("n"), F.col("head.n"))).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
     checked = written(linked(stars), "checked")
     links = checked.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
-    tested = written(lists.where(F.col("rep") != F.col("head.rep")).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
+    tested = written(lists.where(F.col("rep") != F.col("head.rep")).select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct(), "tested")
     labels = components(links)
     # Across the components of each list; afterwards every pair of different components is compared. The
     # join's condition reads differences and sketches, so only what they cannot exclude comes out of it.
