@@ -8,12 +8,13 @@ that can have a deep internal node at all, in three steps:
    equal windows have equal anchors at the same offset. Anchors are dealt out by hash, and only those
    that occur again survive: a suffix tree has no node below an unrepeated prefix.
 2. The suffixes of surviving anchors, with the words before them that windows of theirs reach, are dealt
-   out by prefix into groups that fit in memory (a group is cut by further bits of the prefix as long
-   as it is too large). A map task sends one of equal runs only, so the prefix of a passage that a third
-   of all documents share stays small.
+   out by prefix into groups that fit in memory: by the anchor, and where an anchor has more runs than a
+   group holds (the reduce side of step 1 counts them), by all ``WINDOW`` words, with the anchor and its
+   offset. A map task sends one of equal runs, or of equal windows, only.
 3. In each group the suffixes are ordered by prefix doubling. Neighbours in that order that agree to
-   depth ``WINDOW`` are leaves below one internal node of at least that depth: maximal repeats. Their
-   windows go back to their documents, that are cut by them in the last step.
+   depth ``WINDOW`` are leaves below one internal node of at least that depth: maximal repeats. A prefix
+   of ``WINDOW`` words is such a node itself, and its leaves are counted. The windows go back to their
+   documents, that are cut by them in the last step.
 """
 
 from __future__ import annotations
@@ -140,21 +141,22 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def _anchors(window: int, prefix: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1, map side. Of anchors that repeat within the slice one is dealt by hash; the others are known
-    to survive and are spread evenly."""
+    to survive and are spread evenly. The one dealt has the number of them, as far as 16 bits hold it."""
     for b in slices(batches, limit=SLICE):
         h, bounds = word_hashes(text_bytes(b.column("text")))
         key, text, first, count = runs(h, bounds, window, prefix)
         if not len(key):
             continue
-        docs = b.column("doc_id").to_numpy()[text]
+        docs = b.column("row").to_numpy()[text]
         start = (first - bounds[text]).astype(np.int32)
         _, where, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         again = times[inverse] > 1
         leads = np.zeros(len(key), bool)
         leads[where] = True
         spread = np.where(leads, key, mixed(docs.view(np.uint64) * P + start.astype(np.uint64)))
+        total = np.where(leads, np.minimum(times[inverse], 0xFFFF), 0).astype(np.uint16)
         sure = (again & ~leads).astype(np.uint8) + (again & leads) * np.uint8(2)
-        yield _blobs([(k, pack(key[i], docs[i], start[i], count[i].astype(np.int16), sure[i].astype(np.uint8))) for k, i in _dealt(spread, n)])
+        yield _blobs([(k, pack(key[i], docs[i], start[i], total[i], sure[i].astype(np.uint8))) for k, i in _dealt(spread, n)])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> list[bytes]:
@@ -166,7 +168,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blobs = _gathered(batches)
     if not blobs:
         return
-    key, docs, start, count, sure = (np.concatenate(c) for c in zip(*map(unpack, blobs), strict=True))
+    key, docs, start, _, sure = (np.concatenate(c) for c in zip(*map(unpack, blobs), strict=True))
     del blobs
     dealt = sure != 1
     _, inverse, times = np.unique(key[dealt], return_inverse=True, return_counts=True)
@@ -175,11 +177,25 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(keep)
     for i in range(0, len(at), 100_000):
         j = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[j]), pa.array(start[j]), pa.array(count[j])], ["doc_id", "start", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(docs[j]), pa.array(start[j])], ["key", "row", "start"])
+
+
+def _crowded(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 1, reduce side: the anchors of more than ``limit`` runs."""
+    blobs = _gathered(batches)
+    if not blobs:
+        return
+    key, total = (np.concatenate(c) for c in zip(*((x[0], x[3]) for x in map(unpack, blobs)), strict=True))
+    key, total = key[total > 0], total[total > 0]
+    keys, inverse = np.unique(key, return_inverse=True)
+    many = np.bincount(inverse, total, len(keys)) > limit
+    yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64))], ["crowd"])
 
 
 def _suffixes(window: int, prefix: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: the surviving runs of each document, with their words, dealt by prefix."""
+    """Step 2: the surviving runs of each document, with their words, dealt by prefix; those of crowded
+    anchors (places given as -1 - place) as windows. Rows of one id share their places, so a place can be
+    of both kinds, and is sent as both."""
     for b in slices(batches, limit=SLICE):
         kept = [i for i, x in enumerate(b.column("runs").is_valid().to_pylist()) if x]
         if not kept:
@@ -187,14 +203,22 @@ def _suffixes(window: int, prefix: int, n: int, batches: Iterator[pa.RecordBatch
         b = b.take(pa.array(kept))
         h, bounds = word_hashes(text_bytes(b.column("text")))
         key, text, first, count = runs(h, bounds, window, prefix)
-        docs = b.column("doc_id").to_numpy()
+        docs = b.column("row").to_numpy()
         found = b.column("runs")
         flat = found.flatten()
         owner = np.repeat(np.arange(len(kept)), np.diff(found.offsets.to_numpy()))
-        places = flat.to_numpy(zero_copy_only=False).astype(np.int64) + bounds[owner]
-        live = np.isin(first, places)
+        flat = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+        crowd = flat < 0
+        places = np.where(crowd, -1 - flat, flat) + bounds[owner]
+        rows = []
+        live = np.isin(first, places[crowd])
+        if live.any():
+            rows += _windows(h, bounds, window, prefix, n, docs, key[live], text[live], first[live], count[live])
+        live = np.isin(first, places[~crowd])
         key, text, first, count = key[live], text[live], first[live], count[live]
         if not len(key):
+            if rows:
+                yield _blobs(rows)
             continue
         # Equal runs of the slice: one is sent, and the windows of all are repeats already.
         whole = np.zeros(len(key), np.uint64)
@@ -204,7 +228,6 @@ def _suffixes(window: int, prefix: int, n: int, batches: Iterator[pa.RecordBatch
         _, lead, inverse, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
         again = np.flatnonzero(times[inverse] > 1)
         start = (first - bounds[text]).astype(np.int32)
-        rows = []
         for k, i in _dealt(mixed(docs[text[again]].view(np.uint64) + start[again].astype(np.uint64)), n):
             i = again[i]
             rows.append((k, pack(docs[text[i]], start[i], (start[i] + count[i] + window - 1).astype(np.int32))))
@@ -217,6 +240,49 @@ def _suffixes(window: int, prefix: int, n: int, batches: Iterator[pa.RecordBatch
         yield _blobs(rows)
 
 
+def _windows(h: np.ndarray, bounds: np.ndarray, window: int, prefix: int, n: int, docs: np.ndarray, key: np.ndarray, text: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[tuple[int, bytes]]:
+    """The windows of runs, dealt by their words: of equal windows of the slice one is sent, and all of
+    them are repeats already. Equal windows have their anchor at the same offset, which is hashed too."""
+    run = np.repeat(np.arange(len(key)), count)
+    at = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    # The anchor is the leftmost of its hash in the window.
+    g = sequences(h, prefix)
+    offset = np.full(len(at), window - prefix)
+    for d in range(window - prefix, -1, -1):
+        offset[g[at + d] == key[run]] = d
+    whole = mixed(sequences(h, window)[at] + offset.astype(np.uint64) * P)
+    order = np.lexsort((whole, key[run]))
+    new = np.ones(len(order), bool)
+    new[1:] = (whole[order][1:] != whole[order][:-1]) | (key[run][order][1:] != key[run][order][:-1])
+    times = np.diff(np.append(np.flatnonzero(new), len(order)))
+    again = np.zeros(len(at), bool)
+    again[order] = np.repeat(times > 1, times)
+    doc, start = docs[text[run]], (at - bounds[text[run]]).astype(np.int32)
+    lead, rows = order[new], []
+    i = np.flatnonzero(again)
+    if len(i):
+        breaks = np.flatnonzero((np.diff(i) != 1) | (np.diff(run[i]) != 0))
+        a, z = i[np.concatenate([[0], breaks + 1])], i[np.concatenate([breaks, [len(i) - 1]])]
+        for k, j in _dealt(mixed(doc[a].view(np.uint64) + start[a].astype(np.uint64)), n):
+            rows.append((k, pack(doc[a[j]], start[a[j]], (start[z[j]] + window).astype(np.int32))))
+    for k, j in _dealt(whole[lead], n):
+        j = lead[j]
+        rows.append((k, pack(key[run[j]], whole[j], doc[j], start[j])))
+    return rows
+
+
+def _nodes(window: int, blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The windows, of those of crowded anchors in one bucket, that several slices have."""
+    key, whole, doc, start = map(np.concatenate, zip(*blobs, strict=True))
+    order = np.lexsort((whole, key))
+    same = (whole[order][1:] == whole[order][:-1]) & (key[order][1:] == key[order][:-1])
+    out = np.zeros(len(key), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    if out.any():
+        yield _ranges(doc[out], start[out], start[out] + window)
+
+
 def repeated_windows(words: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
     """Whether the window at each place of the runs (``sizes`` words each, one behind the other) starts at
     another place too. Places less than ``window`` words before the end of a run are False.
@@ -246,18 +312,24 @@ def repeated_windows(words: np.ndarray, sizes: np.ndarray, window: int) -> np.nd
 
 def _trees(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3: the repeats of one bucket of prefixes, as ranges of words."""
-    keys, docs, starts, counts, words = [], [], [], [], []
+    keys, docs, starts, counts, words, nodes = [], [], [], [], [], []
     for blob in _gathered(batches):
         parts = unpack(blob)
         if len(parts) == 3:
             yield _ranges(*parts)
             continue
+        if len(parts) == 4:
+            nodes.append(parts)
+            continue
         key, doc, start, count, names, codes = parts
         keys.append(key)
         docs.append(doc)
         starts.append(start)
         counts.append(count.astype(np.int64))
         words.append((names, codes))
+    if nodes:
+        yield from _nodes(window, nodes)
+        del nodes
     if not keys:
         return
     key, doc, start, count = map(np.concatenate, (keys, docs, starts, counts))
@@ -288,7 +360,7 @@ def _trees(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _ranges(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "low", "high"])
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["row", "low", "high"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,13 +394,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     prefix = max(1, window - 15)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = docs.where("doc_id is not null").mapInArrow(partial(_anchors, window, prefix, n), "bucket int, blob binary")
-    live = dealt.repartition(n, "bucket").mapInArrow(_survivors, "doc_id long, start int, windows short")
-    live = live.groupBy("doc_id").agg(F.collect_list("start").alias("runs"))
-    # Both joins read the texts from the same exchange.
-    keyed = docs.repartition(n, "doc_id")
-    dealt = keyed.join(live, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(partial(_suffixes, window, prefix, n), "bucket int, blob binary")
-    ranges = dealt.repartition(n, "bucket").mapInArrow(partial(_trees, window), "doc_id long, low int, high int")
-    ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    return keyed.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("doc_id").cast("long").alias("row"))
+    dealt = docs.where("row is not null").mapInArrow(partial(_anchors, window, prefix, n), "bucket int, blob binary").repartition(n, "bucket")
+    crowded = dealt.mapInArrow(partial(_crowded, GROUP // (2 * window - prefix)), "crowd long")
+    live = dealt.mapInArrow(_survivors, "key long, row long, start int")
+    # An anchor in GROUP words or so can be crowded, so the list is short.
+    live = live.join(F.broadcast(crowded), F.col("key") == F.col("crowd"), "left").select("row", F.when(F.col("crowd").isNull(), F.col("start")).otherwise(-1 - F.col("start")).alias("start"))
+    live = live.groupBy("row").agg(F.collect_list("start").alias("runs"))
+    # Both joins read the texts from the same exchange, so both take the same columns of it.
+    keyed = docs.repartition(n, "row")
+    dealt = keyed.join(live, "row", "left").select("doc_id", "row", "text", "runs").mapInArrow(partial(_suffixes, window, prefix, n), "bucket int, blob binary")
+    ranges = dealt.repartition(n, "bucket").mapInArrow(partial(_trees, window), "row long, low int, high int")
+    ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return keyed.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

@@ -7,9 +7,11 @@ import hashlib
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from skerry.llm import queries as Q
+from skerry.llm import substring_dedup
 from skerry.llm.decontaminate import decontaminate, find_contamination
 from skerry.llm.exact_dedup import exact_dedup, key_of, without_copies
 from skerry.llm.html_text import extract_text
@@ -190,6 +192,35 @@ def test_op7_is_brute_force(spark, sf):
     assert got == brute_repeats(texts_of(spark, sf), 35)
 
 
+def test_crowded_anchors(spark, sf, monkeypatch):
+    """Anchors of more runs than a group holds are dealt by whole windows; results stay brute force."""
+    phrase = [f"p{i}" for i in range(25)]
+    texts = {k: " ".join([f"a{k}_{i}" for i in range(20)] + phrase + [f"b{k % 150}_{i}" for i in range(20)]) for k in range(300)}
+    monkeypatch.setattr(substring_dedup, "GROUP", 5000)  # 100 runs
+    docs = documents(spark, texts.items())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(docs, 35).collect()}
+    assert got == brute_repeats(texts, 35) and any(x[1] for x in got.values())
+    # What one task gets of the phrase's anchor: a part of its windows, not all runs.
+    batch = pa.RecordBatch.from_pydict({"row": list(texts), "text": list(texts.values())})
+    blobs = list(substring_dedup._anchors(35, 20, 8, iter([batch])))
+    crowd = [k for b in substring_dedup._crowded(100, iter(blobs)) for k in b.column("crowd").to_pylist()]
+    assert len(crowd) >= 1
+    live = collections.defaultdict(list)
+    for b in substring_dedup._survivors(iter(blobs)):
+        for k, row, start in zip(*(b.column(c).to_pylist() for c in ("key", "row", "start")), strict=True):
+            live[row].append(-1 - start if k in crowd else start)
+    batch = batch.append_column("runs", pa.array([live.get(i) for i in texts], pa.list_(pa.int32())))
+    sizes = collections.Counter()
+    for b in substring_dedup._suffixes(35, 20, 8, iter([batch])):
+        for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            parts = substring_dedup.unpack(blob)
+            sizes[bucket] += len(parts[0]) * (len(parts) > 3)
+    assert sum(sizes.values()) > 1000 and max(sizes.values()) < 0.25 * sum(sizes.values())
+    monkeypatch.setattr(substring_dedup, "GROUP", 50)  # every anchor that occurs again
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in Q.op7_substring_dedup(spark, sf).collect()}
+    assert got == brute_repeats(texts_of(spark, sf), 35)
+
+
 def test_repeats_edges(spark, odd):
     got = {r.doc_id: r for r in remove_repeats(odd, 4).collect()}
     assert got[3].n_words == 0 and got[5].kept_text == "" and got[6].kept_text == "amet x" or got[6].kept_text == "x"
