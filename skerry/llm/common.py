@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import shared_dir
 
@@ -43,6 +44,12 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._skerry_shipped = True
 
 
+def row_id(docs: DataFrame) -> Column:
+    """doc_id, and for rows without one a 64-bit hash of the text: such rows share it only if their texts
+    are equal (or hashes collide), so what follows from a text holds for all of them."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import row_id, slices, text_bytes
 
 Q = 8
 #: Edits that a match may have, as a share of the item's length.
@@ -217,6 +217,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, error: float = ERR
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """The rows of ``docs`` (with all their columns) that hold no benchmark item."""
-    found = find_contamination(docs, benchmark, error).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")
+    """The rows of ``docs`` (with all their columns) that hold no benchmark item. Rows without doc_id
+    are judged by their text."""
+    named = docs.select(row_id(docs).alias("doc_id"), "text")
+    found = find_contamination(named, benchmark, error).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, row_id(docs) == found["_found"], "left_anti")

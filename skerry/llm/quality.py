@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import row_id, slices, text_bytes, written
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -216,6 +216,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Dat
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
-    rejected = score_quality(docs, labels, least).where("predicted = 0").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["_rejected"], "left_anti")
+    """The rows of ``docs``, with all their columns, that the classifier does not reject. Rows without
+    doc_id are judged by their text."""
+    named = docs.select(row_id(docs).alias("doc_id"), "text")
+    rejected = score_quality(named, labels, least).where("predicted = 0").select(F.col("doc_id").alias("_rejected")).distinct()
+    return docs.join(rejected, row_id(docs) == rejected["_rejected"], "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, text_bytes
+from .common import partitions, row_id, slices, text_bytes
 
 WINDOW = 35
 SLICE = 6 << 20
@@ -371,8 +371,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(words)
             if ranges:
                 gone = np.zeros(n + 1, np.int32)
-                np.add.at(gone, [r["low"] for r in ranges], 1)
-                np.add.at(gone, [r["high"] for r in ranges], -1)
+                # Rows that share an id can be shorter than its ranges.
+                np.add.at(gone, [min(r["low"], n) for r in ranges], 1)
+                np.add.at(gone, [min(r["high"], n) for r in ranges], -1)
                 stay = np.cumsum(gone[:n]) == 0
                 words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
             kept = b" ".join(words)
@@ -386,16 +387,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text, kept_sha256.
 
     Words are what ASCII white space leaves of a text, unchanged; kept_text has the kept ones with one
-    space between. All windows are judged on the input. A null text has no words. doc_id should be
-    unique and not null: rows that repeat one are judged as one document each but share what is
-    removed, and rows without one are cut nowhere. Other columns are ignored; an empty table gives no
-    rows. Two different windows are taken for one only if 64-bit hashes of words collide.
+    space between. All windows are judged on the input. A null text has no words. Rows that repeat a
+    doc_id are judged as one document each but share what is removed; rows without one are judged and
+    cut as documents of their own. Other columns are ignored; an empty table gives no rows. Two
+    different windows are taken for one only if 64-bit hashes of words collide.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     prefix = max(1, window - 15)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("doc_id").cast("long").alias("row"))
-    dealt = docs.where("row is not null").mapInArrow(partial(_anchors, window, prefix, n), "bucket int, blob binary").repartition(n, "bucket")
+    docs = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), row_id(docs).alias("row"))
+    dealt = docs.mapInArrow(partial(_anchors, window, prefix, n), "bucket int, blob binary").repartition(n, "bucket")
     crowded = dealt.mapInArrow(partial(_crowded, GROUP // (2 * window - prefix)), "crowd long")
     live = dealt.mapInArrow(_survivors, "key long, row long, start int")
     # An anchor in GROUP words or so can be crowded, so the list is short.

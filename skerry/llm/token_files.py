@@ -3,8 +3,9 @@
 File format. A record is: body length (uint64), masked CRC-32 of that length (uint32), body, masked
 CRC-32 of the body (uint32), all little-endian; a checksum c is stored as rotate-right(c, 15) +
 0xA282EAD8. The body is doc_id (int64), number of ids (uint32), bytes an id takes (uint32: 2 or 4),
-ids. Beside each file lies an index with (doc_id, offset, number of ids) for every record, so a
-shuffled reader seeks to any record at once. Files follow each other in doc_id order, and the
+ids. A document without doc_id has 0 there and the highest bit of the last field set. Beside each file
+lies an index with (doc_id, offset, number of ids) for every record, where a document without doc_id
+has 0 and -1 - offset, so a shuffled reader seeks to any record at once. Files follow each other in doc_id order, and the
 manifest has their order and totals, from which every document's place in the whole stream follows.
 """
 
@@ -29,6 +30,7 @@ from .common import filesystem, partitions, slices, work_path
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qII")
 TAIL = struct.Struct("<I")
+NAMELESS = 1 << 31
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 #: Entries that a worker keeps of its caches (words, and the parts they consist of); beyond, each is
 #: encoded once for each batch.
@@ -141,10 +143,10 @@ def _write(folder: str, tokenizer: str, end_id: int, batches: Iterator[pa.Record
         for doc, ids in zip(b.column("doc_id").to_pylist(), enc.batch(texts), strict=True):
             ids += end
             n = len(ids) // width
-            body = BODY.pack(doc, n, width) + ids
+            body = (BODY.pack(0, n, width | NAMELESS) if doc is None else BODY.pack(doc, n, width)) + ids
             size = len(body).to_bytes(8, "little")
             out.write(size + TAIL.pack(masked(zlib.crc32(size))) + body + TAIL.pack(masked(zlib.crc32(body))))
-            index.append((doc, at, n))
+            index.append((0, -1 - at, n) if doc is None else (doc, at, n))
             at += len(body) + 16
             total += n
     if out is None:
@@ -162,8 +164,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     writes the ids in ascending doc_id order; returns the manifest, a row for each file.
 
     A null text counts as empty: its document is the end id alone. Rows that repeat a doc_id follow
-    each other in the order of their texts. A null doc_id fails. An empty table gives an empty
-    manifest; other columns are ignored.
+    each other in the order of their texts. Rows without doc_id come first, in the order of their texts,
+    and are read back without one. An empty table gives an empty manifest; other columns are ignored.
     """
     spark = docs.sparkSession
     folder = folder or work_path(spark, "token-files")
@@ -174,7 +176,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     return spark.read.parquet(path)
 
 
-def records(data: bytes, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def records(data: bytes, offsets: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of the records at these offsets of a file's bytes, each checked."""
     for at in offsets.tolist():
         size, crc = HEAD.unpack_from(data, at)
@@ -184,7 +186,7 @@ def records(data: bytes, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]
         if masked(zlib.crc32(body)) != TAIL.unpack_from(data, at + 12 + size)[0]:
             raise ValueError("a record is damaged")
         doc, n, width = BODY.unpack_from(body)
-        yield doc, np.frombuffer(body, f"<u{width}", n, BODY.size)
+        yield None if width & NAMELESS else doc, np.frombuffer(body, f"<u{width & ~NAMELESS}", n, BODY.size)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,20 +195,22 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, path = filesystem(file)
             with fs.open_input_stream(filesystem(index_file)[1], compression=None) as f:
                 index = np.frombuffer(f.read(), INDEX)
+            offsets = np.where(index["offset"] < 0, -1 - index["offset"], index["offset"])
+            names = [d if o >= 0 else None for d, o in zip(index["doc_id"].tolist(), index["offset"].tolist(), strict=True)]
             starts = base + np.concatenate([[0], np.cumsum(index["n"])])
             with fs.open_input_file(path) as f:
                 size = f.size()
                 at = 0
                 while at < len(index):  # about 8 MB of records at a time
-                    first = int(index["offset"][at])
-                    to = int(np.searchsorted(index["offset"], first + (8 << 20)))
-                    stop = int(index["offset"][to]) if to < len(index) else size
+                    first = int(offsets[at])
+                    to = int(np.searchsorted(offsets, first + (8 << 20)))
+                    stop = int(offsets[to]) if to < len(index) else size
                     f.seek(first)
                     docs, sums = [], []
-                    for doc, ids in records(f.read(stop - first), index["offset"][at:to] - first):
+                    for doc, ids in records(f.read(stop - first), offsets[at:to] - first):
                         docs.append(doc)
                         sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    if docs != index["doc_id"][at:to].tolist():
+                    if docs != names[at:to]:
                         raise ValueError("the index does not match its file")
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts[at:to], pa.int64()), pa.array(index["n"][at:to], pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     at = to

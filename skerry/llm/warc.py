@@ -36,16 +36,18 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit names the record it repeats and carries no block."""
+def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record. A revisit names the record it repeats and carries no block. Without page_id
+    there is no such header, and the record is named by its URL and payload."""
+    name = f"{url} {payload_digest}" if page_id is None else str(page_id)
     head = [
         b"WARC/1.1",
         b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, str(page_id))}>".encode(),
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, name)}>".encode(),
         f"WARC-Date: {DATE}".encode(),
         b"WARC-Target-URI: " + " ".join((url or "").split()).encode(),
         f"WARC-Payload-Digest: sha1:{payload_digest}".encode(),
-        f"X-Page-ID: {page_id}".encode(),
+        *([] if page_id is None else [f"X-Page-ID: {page_id}".encode()]),
         f"X-Payload-Bytes: {len(payload)}".encode(),
     ]
     block = payload
@@ -136,8 +138,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0)
 
     Of equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id is a response
     and the others revisit it; smaller payloads are all responses. A null html is an empty payload.
-    Repeated rows with the smallest page_id are all responses. A null page_id fails; other columns
-    are ignored; an empty table writes an empty manifest.
+    Repeated rows with the smallest page_id are all responses. A row without
+    page_id is a response, nothing revisits it, and it is read back without one. Other columns are ignored; an empty table writes an empty manifest.
     """
     spark = pages.sparkSession
     folder = folder or work_path(spark, "warc")
@@ -178,9 +180,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     block = rec[end + 4 : -4]
                     sha = h[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
                     if kind == "response" and (digest(block) != sha or len(block) != size):
-                        raise ValueError(f"record of page {h[b'X-Page-ID']!r} is damaged")
+                        raise ValueError(f"record of page {h.get(b'X-Page-ID')!r} is damaged")
                     refers = h.get(b"X-Refers-To-Page-ID")
-                    out.append((int(h[b"X-Page-ID"]), h.get(b"WARC-Target-URI", b"").decode(), kind, size, sha, int(refers) if refers else None, block))
+                    page = h.get(b"X-Page-ID")
+                    out.append((None if page is None else int(page), h.get(b"WARC-Target-URI", b"").decode(), kind, size, sha, int(refers) if refers else None, block))
                     held += len(block)
                     if held > 8 << 20:
                         yield _records(out)

@@ -140,6 +140,25 @@ def test_token_files_edges(spark, odd):
     assert read_token_files(write_token_files(odd.limit(0), path)).count() == 0
 
 
+def test_rows_without_id(spark, odd):
+    item = "one benchmark item of some length"
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"a {passage} b"), (None, f"c {passage} d"), (None, f"e {item} f"), (None, None), (None, "e"), (None, "e")]
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert rows_of(decontaminate(docs, bench), "doc_id", "text") == sorted((r for r in rows if item not in (r[1] or "")), key=repr)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert good_documents(docs, labels, least=0.6).count() == 0
+    assert rows_of(remove_repeats(docs, 35), "doc_id", "n_removed", "kept_text") == sorted([(1, 40, "a b"), (None, 40, "c d"), (None, 0, rows[2][1]), (None, 0, ""), (None, 0, "e"), (None, 0, "e")], key=repr)
+    pages = spark.createDataFrame([(2, "u", "same"), (None, "u", "same"), (3, "u", "same"), (None, None, None)], "page_id long, url string, html string")
+    got = rows_of(read_warc(write_warc(pages)), "page_id", "url", "record_type", "payload_bytes", "refers_to")
+    assert got == sorted([(2, "u", "response", 4, None), (None, "u", "response", 4, None), (3, "u", "revisit", 4, 2), (None, "", "response", 0, None)], key=repr)
+    pytest.importorskip("tokenizers")
+    got = read_token_files(write_token_files(odd, Q.vocabulary("word_bpe_49k.json"))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and got[0].ids_crc32 == got[2].ids_crc32
+
+
 def test_op4(spark, sf, odd):
     items = {r.item_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in Q.op4_decontamination(spark, sf).collect()}
