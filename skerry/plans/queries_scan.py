@@ -23,6 +23,9 @@ both("topk_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_tota
 both("order_multi_key", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 50")
 both("order_by_expr", "SELECT p_partkey, p_size * 2 AS s FROM part ORDER BY p_size * 2 DESC, p_partkey LIMIT 40")
 pair("order_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s, o_orderkey LIMIT 60", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s NULLS FIRST, o_orderkey LIMIT 60")
+both("order_multi_key_all", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
+both("order_by_expr_all", "SELECT p_partkey, p_size * 2 AS s FROM part ORDER BY p_size * 2 DESC, p_partkey")
+pair("order_nulls_all", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s, o_orderkey", "SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders ORDER BY s NULLS FIRST, o_orderkey")
 both("pred_compare", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 12 AND l_linenumber <> 3 AND l_returnflag != 'A'")
 both("pred_between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000")
 both("pred_not_between", "SELECT o_orderkey FROM orders WHERE o_totalprice NOT BETWEEN 1000 AND 400000")

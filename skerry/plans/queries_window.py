@@ -31,4 +31,5 @@ both("win_count_over_limit", "SELECT n_name, count(*) OVER () AS n FROM nation O
 both("win_over_agg", "SELECT o_custkey, count(*) AS n, CAST(rank() OVER (ORDER BY count(*) DESC) AS BIGINT) AS r FROM orders GROUP BY o_custkey")
 both("win_top1_cte", f"WITH ranked AS (SELECT o_orderkey, o_custkey, row_number() {W}) AS n FROM orders) SELECT o_orderkey, o_custkey FROM ranked WHERE n = 1")
 pair("win_order_alias", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS n FROM customer ORDER BY n LIMIT 20", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS n FROM customer ORDER BY n LIMIT 20")
+both("win_order_alias_all", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS n FROM customer ORDER BY n")
 pair("win_events_gap", "SELECT event_id, timestampdiff(SECOND, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap FROM events", "SELECT event_id, date_sub('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap FROM events")

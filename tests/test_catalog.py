@@ -41,6 +41,18 @@ def test_twin(spark, sf, con, name):
     assert got == sorted((tuple(plain(r[i]) for i in order) for r in cursor.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", ["order_nulls_all", "order_multi_key_all", "order_by_expr_all", "win_order_alias_all"])
+def test_whole_order(spark, sf, con, name):
+    """All rows, in the order of the twin."""
+    df = QUERIES[name](spark, sf)
+    cursor = con.execute(ORACLE_SQL[name])
+    assert df.columns == [d[0] for d in cursor.description]
+    want = [tuple(map(plain, r)) for r in cursor.fetchall()]
+    assert [tuple(map(plain, r)) for r in df.collect()] == want
+    if name == "order_nulls_all":
+        assert {s is None for _, s in want} == {True, False}
+
+
 def test_stream_is_the_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "ts")
     events.write.parquet(str(tmp_path / "in"))
