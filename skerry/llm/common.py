@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,9 +45,47 @@ def ship(spark: SparkSession) -> None:
 
 
 def row_id(docs: DataFrame) -> Column:
-    """doc_id, and for rows without one a 64-bit hash of the text: such rows share it only if their texts
-    are equal (or hashes collide), so what follows from a text holds for all of them."""
-    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    """A 64-bit hash of doc_id and text: rows share it only if they are equal in both (or hashes collide), so
+    what follows from a text holds for all of them."""
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: doc_id where one text alone has it; rows without a doc_id,
+    and all but one of the texts that share one, have a hash of both beyond 2 ** 62 in its place."""
+    key = f"_row_{uuid.uuid4().hex[:8]}"
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    other = F.lit(1 << 62) + F.pmod(row_id(docs), F.lit(1 << 62))
+    texts = docs.select(docs["doc_id"].cast("long").alias("named"), text.alias("text")).where("named is not null").distinct()
+    shared = written(texts.groupBy("named").agg(F.min("text").alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1").select("named", "own"), "shared-ids")
+    if not shared.limit(1).count():
+        return docs.withColumn(key, F.coalesce(docs["doc_id"].cast("long"), other)), key
+    rows = docs.join(shared, docs["doc_id"].cast("long") == shared["named"], "left")
+    named = F.when(shared["own"].isNull() | (shared["own"] == text), docs["doc_id"].cast("long"))
+    return rows.select(*(docs[c] for c in docs.columns), F.coalesce(named, other).alias(key)), key
+
+
+def texts_udf(each: Callable[[list[bytes]], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """A column function over text columns (null as empty) that goes through whole texts in bounded slices; the
+    other columns of a row stay in the JVM."""
+
+    @F.arrow_udf(kind)
+    def over(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            parts = [each(text_bytes(b.column("text"))) for b in slices([batch])]
+            yield pa.concat_arrays(parts) if parts else each([])
+
+    return over
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` left-joined with ``values``, that has one row for each ``key``, without a task that gets all
+    rows of one key: they are dealt by the key and a hash of ``by`` into as many parts as there are partitions."""
+    part = F.pmod(F.xxhash64(F.col(by)), F.lit(partitions(rows.sparkSession)))
+    rows = rows.withColumn("_part", part)
+    places = rows.select(key, "_part").distinct().join(values, key)
+    return rows.join(places, [key, "_part"], "left").drop("_part")
 
 
 def partitions(spark: SparkSession) -> int:
