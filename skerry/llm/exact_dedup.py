@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes, work_path
+from .common import partitions, spread_join, text_bytes, texts_udf, work_path, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -178,19 +178,21 @@ def exact_dedup(docs: DataFrame, forget: DataFrame | None = None) -> DataFrame:
     if forget is not None:
         parts = parts.unionByName(forget.select("key", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size")))
     index = parts.repartition(partitions(spark), "key").mapInArrow(_indexed, state)
-    return (
-        rows.join(index, "key", "left")
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("group_size").isNotNull(), F.lit(False)).alias("kept"),
-            F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"),
-        )
-    )
+    kept = F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("group_size").isNotNull(), F.lit(False))
+    sha256 = F.lower(F.hex(F.substring("key", 1, 32)))
+    return spread_join(rows, index, "key", "doc_id").select("doc_id", "keep_id", "group_size", kept.alias("kept"), sha256.alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps; doc_id names a document."""
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_copy"], "left_anti")
+    """The rows of ``docs``, with all their columns: of equal texts one, of the largest doc_id (none is smaller
+    than any). Rows that share a doc_id are judged by their own texts; of rows equal in both one stays.
+
+    Rows meet the kept ones by text and doc_id, so the copies of one text are spread by their ids."""
+    digest = texts_udf(lambda texts: pa.array([hashlib.sha256(normalised(t)).hexdigest() for t in texts], pa.string()), "string")
+    stays = exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"))
+    stays = written(stays.toDF("_stay_id", "_stay_sha", "_stay_rows"), "stays")
+    rows = docs.withColumn("_own_sha", digest(docs["text"].cast("string")))
+    rows = rows.join(stays, (rows["_own_sha"] == stays["_stay_sha"]) & rows["doc_id"].cast("long").eqNullSafe(stays["_stay_id"]))
+    if stays.where("_stay_rows > 1").limit(1).count():
+        rows = rows.where("_stay_rows = 1").unionByName(rows.where("_stay_rows > 1").dropDuplicates(["_own_sha"]))
+    return rows.select(*(f"`{c}`" for c in docs.columns))
