@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, slices, text_bytes, written
+from .common import slices, text_bytes, texts_udf, written
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -171,7 +171,8 @@ def isotonic(x: list[float], y: list[float], weight: list[float]) -> tuple[np.nd
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """Fits on all labelled rows outside the held-out fold: doc_id, stats; labels: doc_id, quality."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
-    truth = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").dropDuplicates(["doc_id"])
+    truth = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    truth = truth.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     rows = stats.join(truth, "doc_id").withColumn("fold", fold).where(F.col("fold") != HELD_OUT)
     rows = written(rows.select("stats", "quality", "fold"), "labelled")
     train = rows.where(F.col("fold") != CALIBRATES)
@@ -203,7 +204,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Dat
     """One row for each row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
     Learns from ``labels`` (doc_id, quality 0 or 1) outside the held-out fold (crc32 of the doc_id as text,
-    modulo 5, is 0). Labels that are null or neither 0 nor 1 are ignored, of repeated ones one counts.
+    modulo 5, is 0). Labels that are null or neither 0 nor 1 are ignored, and so are those of a doc_id whose
+    labels differ; equal ones count once.
     Without labels every score is 0.5. Null, empty and very long texts are scored like any other; a null
     doc_id is scored and not held out; repeated rows each give a row; other columns are ignored.
     """
@@ -216,8 +218,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Dat
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier does not reject. Rows without
-    doc_id are judged by their text."""
-    named = docs.select(row_id(docs).alias("doc_id"), "text")
-    rejected = score_quality(named, labels, least).where("predicted = 0").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, row_id(docs) == rejected["_rejected"], "left_anti")
+    """The rows of ``docs``, with all their columns, that the classifier does not reject, each judged by its
+    own text. The rows are written once beside their statistics and filtered where they lie: no text is
+    shuffled. Nulls, repeats and empty cases as in ``score_quality``."""
+    measured = texts_udf(lambda texts: pa.array([statistics(t) for t in texts], pa.list_(pa.float64())), "array<double>")
+    rows = written(docs.withColumn("_own_stats", measured(docs["text"].cast("string"))), "measured")
+    model = fit(rows.select(F.col("doc_id").cast("long"), F.col("_own_stats").alias("stats")), labels)
+
+    @F.arrow_udf("double")
+    def score(stats: pa.Array) -> pa.Array:
+        return pa.array(model.scores(matrix(stats))) if len(stats) else pa.array([], pa.float64())
+
+    return rows.where(score("_own_stats") >= least).drop("_own_stats")
