@@ -4,7 +4,11 @@ A region of a document that matches a benchmark item of length m within e edits
 m - q + 1 - q * e of the item's q-grams with it, on diagonals that differ by 2 e at most. Shared
 q-grams (found with rolling hashes over whole texts) are counted in overlapping diagonal bands, each
 wide enough to hold any such region; bands that meet the bound are verified by banded alignment.
-Texts are compared in lower case with runs of white space as one space.
+Texts are compared in lower case with runs of white space as one space. Items shorter than q have no
+q-gram and no edit to spend: they are looked up whole, by the hash of as many characters.
+
+The distinct items are written as a table of blocks, dealt by hash, and each task reads the block of its
+pass from there; neither the driver nor the plan holds benchmark texts.
 """
 
 from __future__ import annotations
@@ -14,15 +18,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, slices, text_bytes
+from .common import filesystem, partitions, slices, text_bytes, texts_udf, work_path, written
 
 Q = 8
 #: Edits that a match may have, as a share of the item's length.
 ERROR = 0.08
-#: Characters of benchmark items that one pass over the documents holds; more items take more passes.
+#: Characters, about, of benchmark items that one pass over the documents holds; more items take more passes.
 BLOCK = 4 << 20
 PRIME = 0x9E3779B97F4A7C15 | 1
 BITS = 21
@@ -37,14 +43,15 @@ def codes(text: str) -> np.ndarray:
 
 
 def grams(c: np.ndarray, q: int = Q) -> np.ndarray:
-    """The rolling hash of the q-gram at each place; q is a power of two."""
-    h, p, n = c * np.uint64(PRIME) ^ (c >> np.uint64(3)), PRIME, 1
+    """The rolling hash of the q-gram at each place."""
     if len(c) < q:
         return np.zeros(0, np.uint64)
+    h, p, n = c * np.uint64(PRIME) ^ (c >> np.uint64(3)), PRIME, 1
     while n < q:
-        h = h[: len(h) - n] * np.uint64(p) + h[n:]
+        step = min(n, q - n)  # a last step that is no doubling overlaps, and is a hash of the same characters still
+        h = h[: len(h) - step] * np.uint64(p) + h[step:]
         p = p * p & 0xFFFFFFFFFFFFFFFF
-        n *= 2
+        n += step
     return h
 
 
@@ -97,9 +104,15 @@ def aligned(item: str, text: str, low: int, high: int, edits: int) -> tuple[int,
 
 
 class Items:
-    """Benchmark items with the q-grams of all in one sorted list."""
+    """Benchmark items with the q-grams of all in one sorted list, and those shorter than q by length."""
 
     def __init__(self, items: list[tuple[int, str]], error: float):
+        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []  # (length, sorted hashes, numbers of the items)
+        for m in sorted({len(t) for _, t in items if len(t) < Q}):
+            numbers = np.array([k for k, (_, t) in enumerate(items) if len(t) == m], np.int64)
+            h = np.array([int(grams(codes(items[k][1]), m)[0]) for k in numbers.tolist()], np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.short.append((m, h[order], numbers[order]))
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         sizes = np.array([len(t) for t in self.texts], np.int64)
@@ -118,6 +131,23 @@ class Items:
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(self.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
+    def whole(self, c: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, place in it) of the first occurrence of each short item in each text."""
+        for m, hashes, numbers in self.short:
+            h = grams(c, m)
+            low = np.searchsorted(hashes, h)
+            at = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == h))
+            doc = np.searchsorted(starts, at, "right") - 1
+            done: set[tuple[int, int]] = set()
+            for a, d in zip(at.tolist(), doc.tolist(), strict=True):
+                k = int(low[a])
+                while k < len(hashes) and hashes[k] == h[a]:
+                    item = int(numbers[k])
+                    if (d, item) not in done and np.array_equal(c[a : a + m], codes(self.texts[item])):
+                        done.add((d, item))
+                        yield d, item, a - int(starts[d])
+                    k += 1
+
     def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in text, item, place in item) of every shared q-gram."""
         h = grams(c)
@@ -132,12 +162,14 @@ class Items:
 
 def matches(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
     """(number of the text, number of the item, start, end, distance), the best match for each pair."""
-    if not len(items.grams):
-        return
-    joined = "\x00".join(texts)
+    joined = codes("\x00".join(texts))
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    at, item, place = items.hits(codes(joined))
+    for d, i, start in items.whole(joined, starts):
+        yield d, i, start, start + len(items.texts[i]), 0
+    if not len(items.grams):
+        return
+    at, item, place = items.hits(joined)
     if not len(at):
         return
     half = items.half[item]
@@ -167,10 +199,46 @@ def matches(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int
         yield d, i, start, end, distance
 
 
-def _search(block: list[tuple[int, str]], error: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    items = Items(block, error)
+def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        texts = [normalised(x.decode("utf-8", "replace")) for x in text_bytes(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(texts, pa.string())], ["item_id", "text"])
+
+
+def blocks(benchmark: DataFrame, limit: int = BLOCK) -> tuple[str, int]:
+    """Writes the distinct normalised items, the smallest item_id for each text, as a table of blocks of about
+    ``limit`` characters: its place and the number of blocks."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_normal, "item_id long, text string")
+    items = written(items.where("text <> ''").groupBy("text").agg(F.min("item_id").alias("item_id")), "items")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    number = -(-size // limit)
+    path = work_path(spark, "blocks")
+    if number:
+        items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(number))).repartition(min(number, partitions(spark)), "block").write.partitionBy("block").parquet(path)
+    return path, number
+
+
+_HELD: dict[tuple[str, int, float], Items] = {}
+
+
+def block_items(path: str, block: int, error: float) -> Items:
+    """The items of one block; a worker process holds the last one it used."""
+    if (path, block, error) not in _HELD:
+        fs, base = filesystem(f"{path}/block={block}")
+        files = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+        rows: list[tuple[int, str]] = []
+        for f in sorted(x.path for x in files if x.path.endswith(".parquet")):
+            rows += zip(*pq.read_table(f, filesystem=fs, columns=["item_id", "text"]).to_pydict().values(), strict=True)
+        _HELD.clear()
+        _HELD[path, block, error] = Items(sorted(rows, key=lambda r: (r[0] is None, r)), error)
+    return _HELD[path, block, error]
+
+
+def _search(path: str, block: int, error: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item_id", "start", "end", "distance"]
     for b in slices(batches, limit=1 << 20):
+        items = block_items(path, block, error)
         texts = [normalised(x.decode("utf-8", "replace")) for x in text_bytes(b.column("text"))]
         docs = b.column("doc_id").to_pylist()
         found = [(docs[d], items.ids[i], s, e, n) for d, i, s, e, n in matches(items, texts)]
@@ -178,47 +246,37 @@ def _search(block: list[tuple[int, str]], error: float, batches: Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items in blocks of bounded size, the smallest item_id for each text; read row by row."""
-    held: list[tuple[int, str]] = []
-    size = 0
-    seen: set[str] = set()
-    for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        text = normalised(row.text)
-        if len(text) < Q or text in seen:
-            continue
-        if held and size + len(text) > limit:
-            yield held
-            held, size, seen = [], 0, set()
-        seen.add(text)
-        held.append((row.item_id, text))
-        size += len(text)
-    if held:
-        yield held
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, limit: int = BLOCK) -> DataFrame:
     """A row for each document and benchmark item that it holds: doc_id, item_id, start, end (code points
-    of the normalised text), distance (edits).
+    of the normalised text), distance (edits), of the best match.
 
     Every whole text is searched for every item. Items with the same normalised text count once, under
-    the smallest item_id; items of less than Q characters and null texts match nothing. Repeated rows
+    the smallest item_id; items of less than Q characters match without edits, the first occurrence counts;
+    empty and null items match nothing, and neither do null texts. Repeated rows
     each give their matches; other columns are ignored; empty tables give no rows. The benchmark (a
-    stated query set) is taken in blocks of bounded size, so what a task holds does not grow with it.
+    stated query set) is taken in blocks of about ``limit`` characters, so what a task holds does not grow with it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, start long, end long, distance long"
+    path, number = blocks(benchmark, limit)
     out = spark.createDataFrame([], schema)
-    for k, block in enumerate(blocks(benchmark)):
-        found = rows.mapInArrow(partial(_search, block, error), schema)
+    for k in range(number):
+        found = rows.mapInArrow(partial(_search, path, k, error), schema)
         out = found if k == 0 else out.unionByName(found)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """The rows of ``docs`` (with all their columns) that hold no benchmark item. Rows without doc_id
-    are judged by their text."""
-    named = docs.select(row_id(docs).alias("doc_id"), "text")
-    found = find_contamination(named, benchmark, error).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, row_id(docs) == found["_found"], "left_anti")
+def _held_by(path: str, block: int, error: float, texts: list[bytes]) -> pa.Array:
+    found = {x[0] for x in matches(block_items(path, block, error), [normalised(t.decode("utf-8", "replace")) for t in texts])} if texts else set()
+    return pa.array([k in found for k in range(len(texts))], pa.bool_())
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, limit: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` (with all their columns) that hold no benchmark item. Each row is judged by its own
+    text where it lies: nothing is shuffled. Null texts hold none; items as in ``find_contamination``."""
+    path, number = blocks(benchmark, limit)
+    for k in range(number):
+        held = texts_udf(partial(_held_by, path, k, error), "boolean")
+        docs = docs.where(~held(docs["text"].cast("string")))
+    return docs
