@@ -65,18 +65,16 @@ def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
     return rows.select(*(docs[c] for c in docs.columns), F.coalesce(named, other).alias(key)), key
 
 
-def texts_udf(each: Callable[[list[bytes]], pa.Array], kind: str) -> Callable[[Column], Column]:
-    """A column function over text columns (null as empty) that goes through whole texts in bounded slices; the
-    other columns of a row stay in the JVM."""
+def where_texts(docs: DataFrame, stays: Callable[[list[bytes]], Iterable[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text (null as empty) passes; whole texts in bounded slices, nothing is shuffled."""
+    at = docs.columns.index("text")
 
-    @F.arrow_udf(kind)
-    def over(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
-            batch = pa.RecordBatch.from_arrays([column], ["text"])
-            parts = [each(text_bytes(b.column("text"))) for b in slices([batch])]
-            yield pa.concat_arrays(parts) if parts else each([])
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices([b], at):
+                yield part.filter(pa.array(stays(text_bytes(part.column(at))), pa.bool_()))
 
-    return over
+    return docs.mapInArrow(over, docs.schema)
 
 
 def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
@@ -105,7 +103,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str | int = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` holds about ``limit`` bytes in each; bounds Python's memory."""
     for batch in batches:
         n = batch.num_rows

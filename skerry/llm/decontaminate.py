@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, slices, text_bytes, texts_udf, work_path, written
+from .common import filesystem, partitions, slices, text_bytes, where_texts, work_path, written
 
 Q = 8
 #: Edits that a match may have, as a share of the item's length.
@@ -267,9 +267,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, error: float = ERR
     return out
 
 
-def _held_by(path: str, block: int, error: float, texts: list[bytes]) -> pa.Array:
-    found = {x[0] for x in matches(block_items(path, block, error), [normalised(t.decode("utf-8", "replace")) for t in texts])} if texts else set()
-    return pa.array([k in found for k in range(len(texts))], pa.bool_())
+def _clean(path: str, block: int, error: float, texts: list[bytes]) -> list[bool]:
+    found = {x[0] for x in matches(block_items(path, block, error), [normalised(t.decode("utf-8", "replace")) for t in texts])}
+    return [k not in found for k in range(len(texts))]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, limit: int = BLOCK) -> DataFrame:
@@ -277,6 +277,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, l
     text where it lies: nothing is shuffled. Null texts hold none; items as in ``find_contamination``."""
     path, number = blocks(benchmark, limit)
     for k in range(number):
-        held = texts_udf(partial(_held_by, path, k, error), "boolean")
-        docs = docs.where(~held(docs["text"].cast("string")))
+        docs = where_texts(docs, partial(_clean, path, k, error))
     return docs

@@ -14,13 +14,14 @@ the corpus costs one row for each mapped batch, not one for each copy.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, spread_join, text_bytes, texts_udf, work_path, written
+from .common import partitions, spread_join, text_bytes, work_path, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -188,10 +189,11 @@ def without_copies(docs: DataFrame) -> DataFrame:
     than any). Rows that share a doc_id are judged by their own texts; of rows equal in both one stays.
 
     Rows meet the kept ones by text and doc_id, so the copies of one text are spread by their ids."""
-    digest = texts_udf(lambda texts: pa.array([hashlib.sha256(normalised(t)).hexdigest() for t in texts], pa.string()), "string")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    digest = F.sha2(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), 256)
     stays = exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"))
     stays = written(stays.toDF("_stay_id", "_stay_sha", "_stay_rows"), "stays")
-    rows = docs.withColumn("_own_sha", digest(docs["text"].cast("string")))
+    rows = docs.withColumn("_own_sha", digest)
     rows = rows.join(stays, (rows["_own_sha"] == stays["_stay_sha"]) & rows["doc_id"].cast("long").eqNullSafe(stays["_stay_id"]))
     if stays.where("_stay_rows > 1").limit(1).count():
         rows = rows.where("_stay_rows = 1").unionByName(rows.where("_stay_rows > 1").dropDuplicates(["_own_sha"]))
