@@ -11,6 +11,7 @@ manifest has their order and totals, from which every document's place in the wh
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -44,17 +45,45 @@ def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+#: The rules of tokenizer files whose texts may be encoded word by word (fixed values): white space is dropped,
+#: no rule goes across it, and letters, single digits and runs of other characters are pre-tokens.
+WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def by_words(config: dict) -> bool:
+    """Whether a tokenizer file has the rules that make a text's ids those of its words in order."""
+    model = config.get("model", {})
+    marks = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("ignore_merges")
+    plain = not any(t.get(k) for t in config.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    spaced = any(c.isspace() for t in config.get("added_tokens", []) for c in t["content"])
+    return marks and plain and not spaced and not config.get("truncation") and not config.get("padding") and all(config.get(k) == v for k, v in WORD_RULES.items())
+
+
 class Encoder:
-    """The tokenizers library's ids, word by word: the tokenizer drops white space and no rule of it
-    crosses white space, so a text's ids are those of its words in order. Each distinct word of a
-    batch is encoded once. Texts with separators that Python and the tokenizer class differently
-    are encoded whole."""
+    """The tokenizers library's ids. Where the file's rules are WORD_RULES, a text's ids are those of its words in
+    order and each distinct word of a batch is encoded once; texts with separators that Python and the tokenizer
+    class differently are encoded whole, and so is every text with any other file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = by_words(json.load(f))
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -68,10 +97,14 @@ class Encoder:
 
     @staticmethod
     def _simple(word: str) -> tuple[str, str] | None:
-        """(letters in lower case, ASCII punctuation behind them) if the word is just that."""
+        """(letters in lower case, ASCII punctuation behind them) if the word is just that. Letters that are more
+        than letters in lower case, as a dotted capital I with its combining dot, are not: their marks go with
+        the punctuation."""
         core = word.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
         if core.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and max(core) < "ɐ")):
-            return core.lower(), word[len(core) :]
+            low = core.lower()
+            if len(low) == len(core) and low.isalpha():
+                return low, word[len(core) :]
         return None
 
     def _encode_parts(self, parts: set[str]) -> dict[str, bytes]:
@@ -93,6 +126,8 @@ class Encoder:
         return known
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self.whole(texts)
         odd = {i: None for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         distinct = set().union(*split)
@@ -222,3 +257,58 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     placed = manifest.select("file", "index_file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     n = partitions(manifest.sparkSession)
     return placed.repartition(n, "file").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for file, index_file in zip(b.column("file").to_pylist(), b.column("index_file").to_pylist(), strict=True):
+            fs, path = filesystem(index_file)
+            with fs.open_input_stream(path, compression=None) as f:
+                index = np.frombuffer(f.read(), INDEX)
+            for at in range(0, len(index), 100_000):
+                part = index[at : at + 100_000]["offset"]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.where(part < 0, -1 - part, part))], ["file", "offset"])
+
+
+def _seeks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records in the order of the rows, each with a seek of its own; a few files stay open."""
+    held: dict[str, object] = {}
+    try:
+        for b in batches:
+            out, size = [], 0
+            for order, file, at in zip(*(b.column(c).to_pylist() for c in ("position", "file", "offset")), strict=True):
+                if file not in held:
+                    while len(held) > 31:
+                        held.pop(next(iter(held))).close()
+                    fs, path = filesystem(file)
+                    held[file] = fs.open_input_file(path)
+                f = held[file]
+                f.seek(at)
+                head = f.read(HEAD.size)
+                ((doc, ids),) = records(head + f.read(HEAD.unpack(head)[0] + TAIL.size), np.array([0]))
+                out.append((order, doc, ids.astype(np.int32)))
+                size += len(ids)
+                if size > 1 << 20:
+                    yield _drawn(out)
+                    out, size = [], 0
+            if out:
+                yield _drawn(out)
+    finally:
+        for f in held.values():
+            f.close()
+
+
+def _drawn(rows: list[tuple]) -> pa.RecordBatch:
+    position, docs, ids = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(position, pa.int64()), pa.array(docs, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["position", "doc_id", "ids"])
+
+
+def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
+    """position, doc_id and ids of every document in an order that ``seed`` draws: by a hash of the record's place,
+    position being the hash. Only index entries are shuffled; each record is then read by a seek to its offset."""
+    n = partitions(manifest.sparkSession)
+    index = manifest.select("file", "index_file").repartition(n, "file").mapInArrow(_index, "file string, offset long")
+    # The file's name is drawn anew with each writing; its part number and the offset are not.
+    place = F.xxhash64(F.lit(seed), F.regexp_extract("file", "([0-9]+)-[^/]*$", 1), "offset")
+    drawn = index.withColumn("position", place).repartitionByRange(n, "position").sortWithinPartitions("position")
+    return drawn.mapInArrow(_seeks, "position long, doc_id long, ids array<int>")
