@@ -2,7 +2,7 @@
 
 Writing tasks put their records into one gzip stream a file. The normaliser inflates such a stream
 once from front to back, frames the records by their Content-Length, rewrites every record as a gzip
-member of its own and writes a sidecar index (offset, length, record id) so that any record can be
+member of its own and writes a sidecar index (offset, length, payload bytes, record id) so that any record can be
 read with one ranged read. Files get their final name by a move and are found through a written
 manifest only, so what a lost or repeated task leaves behind is never read.
 """
@@ -26,7 +26,7 @@ from .common import filesystem, partitions, slices, work_path
 
 LEVEL = 1
 CHUNK = 1 << 20
-INDEX = struct.Struct("<qqq")  # offset, compressed length, payload bytes
+INDEX = struct.Struct("<qqq16s")  # offset, compressed length, payload bytes, record id
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6b1f8f0e-6c8e-5f0a-9d61-0d8c1f6f7a11")
 
@@ -37,9 +37,10 @@ def digest(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit names the record it repeats and carries no block. Without page_id
+    """One WARC/1.1 record. A revisit names the record it repeats and carries no block. A record is named by
+    page_id and payload, so rows that share a page_id share a name only if they are copies; without page_id
     there is no such header, and the record is named by its URL and payload."""
-    name = f"{url} {payload_digest}" if page_id is None else str(page_id)
+    name = f"{url} {payload_digest}" if page_id is None else f"{page_id} {payload_digest}"
     head = [
         b"WARC/1.1",
         b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
@@ -54,7 +55,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_digest:
     if refers_to is not None:
         head += [
             b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(NAMESPACE, str(refers_to))}>".encode(),
+            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(NAMESPACE, f"{refers_to} {payload_digest}")}>".encode(),
             f"X-Refers-To-Page-ID: {refers_to}".encode(),
         ]
         block = b""
@@ -86,22 +87,35 @@ class Frames:
         del self.buffer[:at]
 
 
+def inflated(source) -> Iterator[bytes]:
+    """The bytes of a gzip stream, of one member or several, in pieces of CHUNK bytes at most, however well the
+    input was compressed."""
+    inflate = zlib.decompressobj(31)
+    while piece := source.read(CHUNK):
+        while True:
+            if inflate.eof:
+                inflate = zlib.decompressobj(31)
+            data = inflate.decompress(piece, CHUNK)
+            if data:
+                yield data
+            piece = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+            if not piece and (inflate.eof or len(data) < CHUNK):
+                break
+
+
 def normalise(source, target, index) -> tuple[int, int]:
     """Inflates the single gzip stream ``source`` once; writes a member for each record to ``target``
     and a row of ``INDEX`` for each to ``index``. Returns the records and the bytes written."""
-    inflate, frames, at, n = zlib.decompressobj(31), Frames(), 0, 0
-    while piece := source.read(CHUNK):
-        while piece:
-            for rec in frames.feed(inflate.decompress(piece)):
-                deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                member = deflate.compress(rec) + deflate.flush()
-                target.write(member)
-                size = int(fields(rec[: rec.index(b"\r\n\r\n")])[b"X-Payload-Bytes"])
-                index.write(INDEX.pack(at, len(member), size))
-                at, n = at + len(member), n + 1
-            piece = inflate.unused_data if inflate.eof else b""
-            if piece:  # the next member of a file that was cut into several
-                inflate = zlib.decompressobj(31)
+    frames, at, n = Frames(), 0, 0
+    for data in inflated(source):
+        for rec in frames.feed(data):
+            deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            member = deflate.compress(rec) + deflate.flush()
+            target.write(member)
+            head = fields(rec[: rec.index(b"\r\n\r\n")])
+            name = uuid.UUID(head[b"WARC-Record-ID"].decode().strip("<>")).bytes
+            index.write(INDEX.pack(at, len(member), int(head[b"X-Payload-Bytes"]), name))
+            at, n = at + len(member), n + 1
     if frames.buffer:
         raise ValueError("a record is cut short")
     return n, at
@@ -171,7 +185,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             held = 0
             with fs.open_input_file(path) as f:
-                for offset, length, size in rows:
+                for offset, length, size, name in rows:
                     f.seek(offset)
                     rec = zlib.decompress(f.read(length), 31)
                     end = rec.index(b"\r\n\r\n")
@@ -179,6 +193,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kind = h[b"WARC-Type"].decode()
                     block = rec[end + 4 : -4]
                     sha = h[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
+                    if uuid.UUID(h[b"WARC-Record-ID"].decode().strip("<>")).bytes != name:
+                        raise ValueError("the index does not match its file")
                     if kind == "response" and (digest(block) != sha or len(block) != size):
                         raise ValueError(f"record of page {h.get(b'X-Page-ID')!r} is damaged")
                     refers = h.get(b"X-Refers-To-Page-ID")
