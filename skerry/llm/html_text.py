@@ -1,13 +1,20 @@
 """Main text of web pages from streaming parser events.
 
-The standard library's HTML parser streams tag and text events. They are cut into lines, one for
-each block element. Each line has a text-to-tag ratio (characters for each tag seen since the last
-line); the ratios, smoothed with a Gaussian along the page, are split into two clusters, and regions
-that hold a line of the upper cluster are content. A region is the innermost article, section or
-division a line stands in, and stays or goes as a whole, so short paragraphs of an article are kept.
-Elements that are never main text (navigation, forms, scripts, and what its class, id or role calls
-a menu, notice, advert or comment) are passed over while parsing. Where a page has an article (or
-main element) with text, only it counts.
+The standard library's HTML parser streams tag and text events. They are cut into lines, one for each
+block element. Each line has a text-to-tag ratio (characters for each tag seen since the last line); the
+ratios are smoothed with a Gaussian along the page (and held against their own values), weighted by where
+the line stands, and split into two clusters. The lines of the upper cluster are seeds, and they select regions:
+
+- a region (article, section, division, cell) that holds a seed is content, with the unmarked regions in it
+  that are not made of links; so short paragraphs of an article stay;
+- so are its siblings of the same kind (articles of a page, divisions of the same class), unless they are
+  marked or made of links, and the article or main element around it;
+- a heading directly before a line of content is content.
+
+The weights: an article or main element counts more, and a word of a compound class, id or role that calls
+an element a menu, notice, advert or comment makes it count less. Elements that are never main text
+(navigation, forms, scripts, and those whose whole class, id or role is such a word) weigh nothing and are
+passed over while parsing, article and main elements excepted.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -30,66 +38,105 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("aside button dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split())
 REGIONS = frozenset("article body div main section td".split())
-#: Words of class, id or role that mark what is not main text.
+ROOTS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Class, id or role that marks what is not main text: the whole name weighs nothing, a word of a compound little.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie"
     " cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay popup"
-    " promo promotion related reply replies responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    " promo promotion related remark remarks reply replies responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 WORDS = re.compile(r"[a-z]+")
+#: Weights of lines in an article or main element, and in an element with a marked compound.
+ROOT, MARKED = 3.0, 0.3
+#: Share of link characters from which on a region is made of links.
+LINKS = 0.5
 SIGMA = 1.5
 RADIUS = 4
 KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(RADIUS + 1)]
 
 
+@dataclass
+class Region:
+    parent: int
+    depth: int  # of the element in the stack
+    kind: tuple[str, str]
+    weight: float
+    marked: bool
+    chars: int = 0
+    links: int = 0
+
+
+@dataclass
+class Line:
+    text: str
+    tags: int
+    region: int
+    heading: bool
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, region, inside an article) for each line of a page."""
+    """Collects the lines of a page and the tree of its regions."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[Line] = []
         self.stack: list[str] = []
-        self.regions: list[tuple[int, int]] = [(0, 0)]  # (depth of the stack, number)
-        self.numbers = 0
-        self.article: int | None = None  # depth of the outermost article
+        self.regions = [Region(-1, -1, ("", ""), 1.0, False)]
+        self.open = [0]  # the regions around this place
+        self.root: int | None = None  # depth of the outermost article or main element
         self.skip: int | None = None  # depth of the element that is passed over
         self.weak = False  # whether an article or main element ends the passing over
         self.parts: list[str] = []
         self.tags = 0
+        self.links = 0  # depth of open links
+        self.linked = 0  # characters of the line in links
+        self.heading = False
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, self.tags, self.regions[-1][1], self.article is not None))
+                self.lines.append(Line(text, self.tags, self.open[-1], self.heading))
+                for k in self.open:
+                    self.regions[k].chars += len(text)
+                    self.regions[k].links += min(self.linked, len(text))
                 self.tags = 0
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+            self.heading = tag in HEADINGS
         elif tag == "br" and self.skip is None:
             self.parts.append(" ")
         if tag in VOID:
             return
-        marked = any(k in ("class", "id", "role") and v and not MARKS.isdisjoint(WORDS.findall(v.lower())) for k, v in attrs) and tag not in ("html", "body")
-        if tag in ("article", "main") and not marked and self.skip is not None and self.weak:
+        named = {t for k, v in attrs if k in ("class", "id", "role") and v for t in v.lower().split()}
+        plain = tag in ROOTS or tag in ("html", "body")
+        marked = not plain and not MARKS.isdisjoint(named)
+        partly = not plain and any(not MARKS.isdisjoint(WORDS.findall(t)) for t in named)
+        if tag in ROOTS and self.skip is not None and self.weak:
             del self.stack[self.skip :]  # an unclosed menu or header before the article
             self.skip = None
         self.stack.append(tag)
         depth = len(self.stack) - 1
         if self.skip is not None:
             return
-        if marked or tag in SKIPPED or (tag == "header" and self.article is None):
+        if marked or tag in SKIPPED or (tag == "header" and self.root is None):
             self.skip, self.weak = depth, tag in ("nav", "header", "menu", "form")
-        elif tag in ("article", "main") and self.article is None:
-            self.article = depth
-            self.numbers += 1
-            self.regions.append((depth, self.numbers))
-        elif tag in REGIONS and self.article is None:
-            self.numbers += 1
-            self.regions.append((depth, self.numbers))
+            return
+        self.links += tag == "a"
+        if tag in ROOTS and self.root is None:
+            self.root = depth
+        if tag in REGIONS or partly and tag in BLOCKS:
+            above = self.regions[self.open[-1]].weight
+            name = next((v for k, v in attrs if k == "class" and v), "") if tag not in ROOTS else ""
+            weight = max(above, ROOT) if tag in ROOTS else above * MARKED if partly else above
+            self.regions.append(Region(self.open[-1], depth, (tag, name), weight, partly))
+            self.open.append(len(self.regions) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,22 +147,27 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+            self.heading = False
         if tag in VOID or tag not in self.stack:
             return
         depth = len(self.stack) - 1 - self.stack[::-1].index(tag)
         if self.skip is not None and depth < self.skip and tag not in ("article", "main", "body", "html", "div", "section"):
             return  # a stray end tag does not end what is passed over
+        gone = self.stack[depth:] if self.skip is None else self.stack[depth : self.skip]
+        self.links = max(0, self.links - gone.count("a"))
         del self.stack[depth:]
         if self.skip is not None and self.skip >= depth:
             self.skip = None
-        if self.article is not None and self.article >= depth:
-            self.article = None
-        while len(self.regions) > 1 and self.regions[-1][0] >= depth:
-            self.regions.pop()
+        if self.root is not None and self.root >= depth:
+            self.root = None
+        while len(self.open) > 1 and self.regions[self.open[-1]].depth >= depth:
+            self.open.pop()
 
     def handle_data(self, data: str) -> None:
         if self.skip is None:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -142,6 +194,32 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
+def ratios(lines: list[Line]) -> list[float]:
+    """Text-to-tag ratios, each as the geometric mean of its own value and the one smoothed along the page: a
+    stray word beside a long paragraph is no long paragraph."""
+    own = [len(x.text) / max(1, x.tags) for x in lines]
+    return [math.sqrt(a * b) for a, b in zip(own, smoothed(own), strict=True)]
+
+
+def content_regions(lines: list[Line], regions: list[Region], scores: list[float]) -> set[int]:
+    """The regions that the lines of the upper cluster select."""
+    cut = threshold(scores)
+    seeds = {x.region for x, r in zip(lines, scores, strict=True) if r >= cut}
+    closed = [r.marked or r.links > LINKS * r.chars for r in regions]
+    content = set(seeds)
+    for k in seeds:  # the article or main element around a seed, if nothing marked lies between
+        at = k
+        while at > 0 and not regions[at].marked:
+            at = regions[at].parent
+            if regions[at].kind[0] in ROOTS:
+                content.add(at)
+    kinds = {(regions[k].parent, regions[k].kind) for k in content if not regions[k].marked}
+    for k, r in enumerate(regions):  # a parent comes before its children
+        if not closed[k] and (r.parent in content or k and (r.parent, r.kind) in kinds):
+            content.add(k)
+    return content
+
+
 def main_text(html: str) -> str:
     """The main text of a page: its blocks in page order, one a line; empty if there is none."""
     if not html:
@@ -150,15 +228,14 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if any(x[3] for x in lines):
-        lines = [x for x in lines if x[3]]
+    lines, regions = parser.lines, parser.regions
     if not lines:
         return ""
-    ratios = smoothed([len(t) / max(1, tags) for t, tags, _, _ in lines])
-    cut = threshold(ratios)
-    content = {x[2] for x, r in zip(lines, ratios, strict=True) if r >= cut}
-    return "\n".join(x[0] for x in lines if x[2] in content)
+    content = content_regions(lines, regions, [r * regions[x.region].weight for x, r in zip(lines, ratios(lines), strict=True)])
+    kept = [x.region in content for x in lines]
+    for i in range(len(lines) - 2, -1, -1):
+        kept[i] = kept[i] or lines[i].heading and kept[i + 1]
+    return "\n".join(x.text for x, k in zip(lines, kept, strict=True) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
