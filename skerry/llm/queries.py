@@ -14,6 +14,7 @@ from .html_text import extract_text
 from .minhash import near_duplicates
 from .pieces import round_trip
 from .quality import score_quality
+from .queries_sql import ORACLE_SQL  # noqa: F401
 from .secrets import report, scan_secrets
 from .substring_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
@@ -73,16 +74,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan_secrets(table(spark, sf_dir, "documents")))
 
 
-OP9_SQL = """
-WITH d AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
-), g AS (
-  SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
-)
-SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
-FROM d JOIN g ON d.t = g.t
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
@@ -95,7 +86,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op9_exact_dedup": OP9_SQL,
-}

@@ -20,7 +20,7 @@ from skerry.llm.pieces import decode, encode, round_trip
 from skerry.llm.quality import good_documents, score_quality
 from skerry.llm.secrets import report, scan_secrets
 from skerry.llm.substring_dedup import remove_repeats
-from skerry.llm.token_files import read_token_files, write_token_files
+from skerry.llm.token_files import read_shuffled, read_token_files, write_token_files
 from skerry.llm.warc import read_warc, write_warc
 
 #: Extra columns whose names the operators use inside.
@@ -157,12 +157,15 @@ def test_quality_edges(spark, odd):
     assert score_quality(odd.limit(0), labels).count() == 0
 
 
-def test_op3_is_the_library(spark, sf):
+MIDDLE = "/root/testdata/sf0.01"
+
+
+def test_op3_is_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     tk = tokenizers.Tokenizer.from_file(Q.vocabulary("word_bpe_49k.json"))
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in Q.op3_token_files(spark, sf).collect()}
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in Q.op3_token_files(spark, MIDDLE).collect()}
     start = 0
-    for i, text in sorted(texts_of(spark, sf).items()):
+    for i, text in sorted(texts_of(spark, MIDDLE).items()):
         ids = tk.encode(text or "", add_special_tokens=False).ids + [2]
         assert got[i] == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
@@ -177,6 +180,21 @@ def test_token_files_edges(spark, odd):
     assert read_token_files(write_token_files(odd.limit(0), path)).count() == 0
 
 
+def test_token_files_in_shuffled_order(spark, sf):
+    pytest.importorskip("tokenizers")
+    path = Q.vocabulary("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(None, "no id", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"))
+    manifest = write_token_files(docs, path)
+    want = {r.doc_id: r.ids_crc32 for r in read_token_files(manifest).collect()}
+    orders = []
+    for seed in (1, 1, 2):
+        rows = read_shuffled(manifest, seed).orderBy("position").collect()
+        assert {r.doc_id: zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids)) for r in rows} == want and len(rows) == len(want)
+        orders.append([r.doc_id for r in rows])
+    assert orders[0] == orders[1] != orders[2] and orders[0] != sorted(orders[0], key=lambda x: x or 0)
+    assert read_shuffled(manifest.limit(0)).count() == 0
+
+
 def test_rows_without_id(spark, odd):
     item = "one benchmark item of some length"
     passage = " ".join(f"w{i}" for i in range(40))
@@ -296,13 +314,15 @@ def test_op8(spark):
     assert rows_of(extract_text(pages), "page_id", "url", "text", "n_chars") == [(1, "u", "", 0), (2, None, "", 0), (3, "u", "a", 1), (3, "u", "a", 1)]
 
 
-def test_op9_is_its_sql(spark, sf):
+@pytest.mark.parametrize("name", ["op1_minhash", "op6_warc", "op7_substring_dedup", "op9_exact_dedup", "op10_secrets"])
+def test_queries_are_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({Q.OP9_SQL}) t").fetchall(), key=repr)
-    assert rows_of(Q.op9_exact_dedup(spark, sf), *columns) == want
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{MIDDLE}/{t}.parquet'")
+    got = Q.QUERIES[name](spark, MIDDLE)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.ORACLE_SQL[name]}) t").fetchall()
+    assert rows_of(got, *got.columns) == sorted(want, key=repr) and want
 
 
 def test_op10(spark, odd):

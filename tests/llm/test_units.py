@@ -89,6 +89,37 @@ def test_html_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+STORY = "A paragraph of some length, with enough words in it to be read as a part of the story."
+#: Pages labelled by hand: (page, its main text).
+LABELLED = [
+    (f'<body><div class="social-policy"><p>{STORY}</p><p>Yes.</p></div><div>x</div></body>', f"{STORY}\nYes."),
+    (f'<main><div id="search-engine-history"><p>{STORY}</p></div></main>', STORY),
+    (f'<article><p>{STORY}</p></article><div class="reader-remarks"><p>first!</p><p>me too</p></div>', STORY),
+    (f"<article><p>{STORY}</p><p>{STORY}</p></article><article class='b'><p>Short.</p></article>", f"{STORY}\n{STORY}\nShort."),
+    ("<main class='site-main has-sidebar'><p>text</p></main>", "text"),
+    ("<article class='post comments-open'><p>text</p></article>", "text"),
+    ("<div class='content no-sidebar'><p>some text</p></div>", "some text"),
+    ("<div id='search-results'><article><h1>T</h1><p>some text</p></article></div>", "T\nsome text"),
+    (f"<body><div><a href=a>one</a> <a href=b>two</a> <a href=c>three</a></div><div>{STORY}</div><div>Short.</div><div>{STORY}</div></body>", f"{STORY}\nShort.\n{STORY}"),
+    (f"<body><ul><li><a href=a>one</a><li><a href=b>two</a></ul><div><h2>Head</h2><p>{STORY}<p>Short.<p>{STORY}</div><div class=box><b>Buy</b> <i>now</i></div></body>", f"Head\n{STORY}\nShort.\n{STORY}"),
+    (f"<body><h1>Head</h1><div class=text><p>{STORY}</p></div><div class='x-related-links'><p>More</p><p>to read</p></div><div class=comments><p>{STORY}</p></div></body>", f"Head\n{STORY}"),
+    (f"<article><div class=lead>Lead.</div><div class=text><p>{STORY}</p></div><section><p>End.</p></section></article>", f"Lead.\n{STORY}\nEnd."),
+    ("<nav>menu</nav><div class='ad'>Buy this, it is good.</div><footer>f</footer>", ""),
+]
+
+
+@pytest.mark.parametrize("html, text", LABELLED)
+def test_html_labelled_pages(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Without ratios (every line alike) boilerplate without a telling tag or name comes through."""
+    monkeypatch.setattr(html_text, "ratios", lambda lines: [1.0] * len(lines))
+    wrong = [text for html, text in LABELLED if html_text.main_text(html) != text]
+    assert len(wrong) >= 3
+
+
 def test_html_long_page():
     body = "".join(f"<p>word{i} &lt; {'x ' * (i % 7)}</p>" for i in range(20000))
     text = html_text.main_text(f"<header>h</header><main>{body}</main>")
@@ -178,6 +209,19 @@ def test_encoder_is_the_library():
         assert np.frombuffer(ids, enc.dtype).tolist() == tk.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_is_the_library_on_random_words():
+    tokenizers = pytest.importorskip("tokenizers")
+    random.seed(3)
+    letters = list("aZéßİıŞșÅÆǅŉΣσςÀ1٣!.,'-/ ") + ["\u0301", "\u0307", "e\u0301", "\u00a0", "\u2003", "\u200b", "<|", "'s", "日", "ﬁ", "😀"]
+    texts = ["TÜRK DİLİ.", "TARİHİ, ve", "İ", "İ.", "x\u0307.", "ŉ!"] + ["".join(random.choices(letters, k=random.randint(1, 14))) for _ in range(6000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary(name)
+        tk, enc = tokenizers.Tokenizer.from_file(path), token_files.Encoder(path)
+        assert enc.by_words == (name == "word_bpe_49k.json")
+        for text, ids, want in zip(texts, enc.batch(texts), tk.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, enc.dtype).tolist() == want.ids, text
+
+
 def test_records_notice_damage():
     ids = np.array([5, 6, 2], "<u2").tobytes()
     body = token_files.BODY.pack(9, 3, 2) + ids
@@ -203,10 +247,18 @@ def test_normaliser_round_trip():
     out, idx = io.BytesIO(), io.BytesIO()
     n, size = warc.normalise(io.BytesIO(warc.dump(recs)), out, idx)
     assert (n, size) == (5, len(out.getvalue()))
-    for rec, (at, length, _) in zip(recs, warc.INDEX.iter_unpack(idx.getvalue()), strict=True):
+    for rec, (at, length, _, name) in zip(recs, warc.INDEX.iter_unpack(idx.getvalue()), strict=True):
         assert zlib.decompress(out.getvalue()[at : at + length], 31) == rec
+        assert str(__import__("uuid").UUID(bytes=name)).encode() in rec
     with pytest.raises(ValueError):
         warc.normalise(io.BytesIO(warc.dump([recs[1][:-3]])), io.BytesIO(), io.BytesIO())
+    # A payload that inflates a thousandfold, and several members one behind the other.
+    big = [warc.record(1, "u", b" " * (8 << 20), warc.digest(b""), None)] * 3
+    out, idx = io.BytesIO(), io.BytesIO()
+    assert warc.normalise(io.BytesIO(warc.dump(big) + warc.dump(recs)), out, idx)[0] == 8
+    # Names: copies share one, other payloads of the same page_id do not.
+    name = lambda *a: warc.fields(warc.record(*a))[b"WARC-Record-ID"]
+    assert name(1, "u", b"a", warc.digest(b"a"), None) != name(1, "u", b"b", warc.digest(b"b"), None)
 
 
 # Shingles, suffixes
