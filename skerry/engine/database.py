@@ -7,6 +7,7 @@ import json
 import os
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ..functions import register_functions
 from ..plans.normalize import SqlError, to_spark
 from ..storage import stored
 from . import dml
-from .lint import COLUMN_TYPES, RULES, PortabilityWarning, QueryLog, ddl, lint
+from .lint import COLUMN_TYPES, TARGETS, PortabilityWarning, QueryLog, ddl, lint
 from .params import bind
 from .schema import Kind, SchemaError, Table, evolve, kind_of_type
 
@@ -30,8 +31,8 @@ class Database:
     """
 
     def __init__(self, spark: SparkSession, force_wipe: bool = False, target: str | None = None, on_warning: Callable[[PortabilityWarning], None] | None = None):
-        if target is not None and target not in RULES:
-            raise ValueError(f"unknown target {target!r}; known: {', '.join(RULES)}")
+        if target is not None and target not in TARGETS:
+            raise ValueError(f"unknown target {target!r}; known: {', '.join(TARGETS)}")
         self.spark = spark.newSession()
         register_functions(self.spark)
         self.force_wipe, self.target, self.on_warning = force_wipe, target, on_warning
@@ -48,6 +49,8 @@ class Database:
         self.tables[name] = table
         if table.df is not None:
             table.df.select(*table.kinds).createOrReplaceTempView(name)
+        else:
+            self.spark.catalog.dropTempView(name)  # no rows yet, or none any more
 
     def attach(self, path: str, name: str | None = None) -> None:
         """A Parquet table, read in place; it is copied only if a statement writes to it."""
@@ -107,7 +110,7 @@ class Database:
     # Statements
 
     def query(self, sql: str, params: object = None, force_wipe: bool | None = None) -> DataFrame:
-        """A SELECT, UNION or WITH query, or a write with RETURNING."""
+        """A SELECT, UNION or WITH query, or a write with RETURNING. Lazy, unless a query log is kept."""
         return self._run("query", sql, params, force_wipe)
 
     def exec(self, sql: str, params: object = None, force_wipe: bool | None = None) -> None:
@@ -115,7 +118,7 @@ class Database:
         self._run("exec", sql, params, force_wipe)
 
     def _run(self, op: str, sql: str, params: object, force_wipe: bool | None) -> DataFrame | None:
-        began, error = time.time(), None
+        began, error, rows = time.time(), None, None
         try:
             self._warn(sql)
             text, args = bind(sql, params)
@@ -125,15 +128,19 @@ class Database:
                     returned = dml.run(self, text, args, self.force_wipe if force_wipe is None else force_wipe)
                 if op == "query" and returned is None:
                     raise SqlError("a write in query() needs RETURNING")
-                return returned
-            if op == "exec":
+            elif op == "exec":
                 raise SqlError(f"exec() takes writes; {first.upper() or 'this'} is none")
-            return self.spark.sql(to_spark(text), args=args)
+            else:
+                returned = self.spark.sql(to_spark(text), args=args)
+            if op == "query" and self.log.path:  # a logged query runs here, once: the log has its time and its rows
+                returned = stored(returned, "logged")
+                rows = returned.count()
+            return returned
         except Exception as e:
             error = e
             raise
         finally:
-            self.log.record(op, sql, began, error)
+            self.log.record(op, sql, began, error, rows)
 
     def _warn(self, sql: str) -> None:
         if self.target:
@@ -157,14 +164,17 @@ class Database:
     # Persistence
 
     def save(self, folder: str) -> None:
-        """Every table as Parquet and a manifest, through Spark, so any store it can write will do."""
+        """Every table as Parquet and a manifest, through Spark, so any store it can write will do. Tables go to
+        folders of a name of their own and the manifest that points to them is written last: until then the
+        snapshot before it stays whole."""
         with self._lock:
             manifest = []
             for name, t in self.tables.items():
+                place = f"{name}-{uuid.uuid4().hex[:12]}"
                 if t.df is not None:
-                    t.df.write.mode("overwrite").parquet(f"{folder}/{name}")
+                    t.df.write.parquet(f"{folder}/{place}")
                 kinds = {c: int(k) for c, k in t.kinds.items()}
-                manifest.append(json.dumps({"name": name, "kinds": kinds, "enums": t.enums, "locked": t.locked, "next_rid": t.next_rid, "rows": t.df is not None}))
+                manifest.append(json.dumps({"name": name, "place": place, "kinds": kinds, "enums": t.enums, "locked": t.locked, "next_rid": t.next_rid, "rows": t.df is not None}))
             self.spark.createDataFrame([(m,) for m in manifest], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
         self._log_beside(folder)
 
@@ -174,7 +184,7 @@ class Database:
             tables = {}
             for row in self.spark.read.text(f"{folder}/manifest").collect():  # a row for each table
                 m = json.loads(row.value)
-                df = stored(self.spark.read.parquet(f"{folder}/{m['name']}"), m["name"]) if m["rows"] else None
+                df = stored(self.spark.read.parquet(f"{folder}/{m['place']}"), m["name"]) if m["rows"] else None
                 tables[m["name"]] = Table(df, {c: Kind(k) for c, k in m["kinds"].items()}, m["enums"], m["locked"], m["next_rid"])
             self._replace(tables)
         self._log_beside(folder)

@@ -46,6 +46,10 @@ def behind(tokens: list[Token], i: int, n: int) -> int:
     return i
 
 
+#: Written tables that a snapshot may be the union of; then they are written as one.
+PARTS = 32
+
+
 @dataclass
 class Conflict:
     columns: list[str]
@@ -236,11 +240,12 @@ def write(db, name: str, df: DataFrame, kinds: list[dict[str, Kind]], conflict:
     for k in kinds:  # rows change the schema one after the other
         new, wipe = evolve(name, after, k, force_wipe)
         after, wiped = after.but(kinds=new), wiped or wipe
-    check_enums(name, table, df)
     target = reshaped(db, table, after.kinds, wiped)
     incoming = df.select("_ord", *(F.col(c).cast(TYPES[k]).alias(c) if c in df.columns else F.lit(None).cast(TYPES[k]).alias(c) for c, k in after.kinds.items()))
     if conflict:
-        return upsert(db, name, target, stored(incoming, name), conflict, items)
+        incoming = stored(incoming, name)
+        check_enums(name, table, incoming)
+        return upsert(db, name, target, incoming, conflict, items)
     return append(db, name, target, incoming, items)
 
 
@@ -248,18 +253,16 @@ def append(db, name: str, target: Table, incoming: DataFrame, items: list[Token]
     # Values and client rows are few; selected rows may be many and get numbers without a shuffle.
     rows = incoming.withColumn("_rid", F.col("_ord") + F.lit(target.next_rid)).drop("_ord")
     rows = stored(rows.select("_rid", *target.kinds), name)
+    check_enums(name, target, rows)  # what is stored, since a source may give other rows when it runs again
     top = rows.agg(F.max("_rid")).first()[0]
     following = target.next_rid if top is None else top + 1
-    df = target.df.unionByName(rows) if target.next_rid else rows
-    db.publish(name, target.but(df=stored(df, name) if depth(df) > 8 else df, next_rid=following))
+    df, parts = (target.df.unionByName(rows), target.parts + 1) if target.next_rid else (rows, 1)
+    if parts > PARTS:
+        df, parts = stored(df, name), 1
+    db.publish(name, target.but(df=df, next_rid=following, parts=parts))
     return returned(rows.withColumnRenamed("_rid", "_at"), items) if items is not None else None
 
 
-def depth(df: DataFrame) -> int:
-    """Files' worth of unions behind a snapshot; long chains are written together."""
-    return df._jdf.queryExecution().analyzed().collectLeaves().size()
-
-
 def conflict_of(tokens: list[Token]) -> Conflict:
     do = find(tokens, "do")
     if do < 0:
@@ -304,51 +307,30 @@ def incoming_only(tokens: list[Token]) -> list[Token]:
 
 
 def upsert(db, name: str, target: Table, incoming: DataFrame, conflict: Conflict, items: list[Token] | None) -> DataFrame | None:
-    """Tuples of equal keys apply one after the other: round k takes the k-th tuple of every key, so the
-    number of rounds is the largest number of tuples of one key, mostly one. Keys match NULL with NULL;
-    of equal target rows the first is updated. SET reads the incoming row, WHERE the existing one."""
+    """Tuples of equal keys apply one after the other. Keys match NULL with NULL; of equal target rows the first
+    is updated. SET reads the incoming row, WHERE the existing one.
+
+    As SET sees the incoming row alone, one pass does for all tuples of a key: the first is inserted where the
+    key is new, and the last one's SET stands. Only a WHERE, or a SET of key columns, depends on what the tuple
+    before left: then round k takes the k-th tuple of every key."""
     columns = list(target.kinds)
     keys = conflict.columns or columns
     if missing := [k for k in keys if k not in columns]:
         raise SqlError(f"{name} has no column {missing[0]}")
-    order = Window.partitionBy(*keys).orderBy("_ord")
-    incoming = stored(incoming.withColumn("_turn", F.row_number().over(order)), name)
-    rounds = incoming.agg(F.max("_turn")).first()[0] or 0
+    rounds = 1
+    if conflict.sets and (conflict.where or {c for c, _ in conflict.sets} & set(keys)):
+        incoming = stored(incoming.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("_ord"))), name)
+        rounds = incoming.agg(F.max("_turn")).first()[0] or 0
     current, following = target.df, target.next_rid
     touched: DataFrame | None = None
     for turn in range(1, rounds + 1):
-        batch = incoming.where(F.col("_turn") == turn).drop("_turn")
-        # SET expressions see the incoming row alone, WHERE the existing row alone: evaluated on either side.
-        batch.createOrReplaceTempView("_incoming")
-        sets = [f"({render(translated(incoming_only(tokenize(render(e)))))}) AS `_set_{c}`" for c, e in conflict.sets]
-        new = db.spark.sql(f"SELECT *, {', '.join(sets)} FROM _incoming AS {name}") if sets else batch
-        ren = {c: f"_in_{c}" for c in ["_ord", *columns]}
-        new = new.withColumnsRenamed(ren)
-        current.createOrReplaceTempView("_existing")
-        allowed = f"coalesce(({render(translated(tokenize(render(conflict.where))))}), false)" if conflict.where else "true"
-        old = db.spark.sql(f"SELECT *, {allowed} AS _allowed FROM _existing AS {name}")
-        firsts = old.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.min("_rid").alias("_first"))
-        same = None
-        for k in keys:
-            c = F.col(f"_in_{k}").eqNullSafe(F.col(f"_k_{k}"))
-            same = c if same is None else same & c
-        matched = new.join(firsts, same, "left")
-        hits = matched.where("_first IS NOT NULL")
-        merged = old.join(hits, old["_rid"] == hits["_first"], "left")
-        act = F.col("_first").isNotNull() & F.col("_allowed") & F.lit(not conflict.nothing)
-        changed = dict(conflict.sets)
-        values = [F.when(act, F.col(f"_set_{c}").cast(TYPES[target.kinds[c]])).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in columns]
-        merged = merged.select("_rid", *values, F.when(act, F.col("_in__ord")).alias("_by"))
-        fresh = matched.where("_first IS NULL").select((F.col("_in__ord") + F.lit(following)).alias("_rid"), *(F.col(f"_in_{c}").alias(c) for c in columns), F.col("_in__ord").alias("_by"))
-        step = stored(merged.unionByName(fresh), name)
-        now = step.where("_by IS NOT NULL").select(F.col("_rid"), F.col("_by"))
-        touched = now if touched is None else touched.unionByName(now)
-        current = step.drop("_by")
-        top = current.agg(F.max("_rid")).first()[0]
-        following = max(following, -1 if top is None else top) + 1
+        batch = incoming.where(F.col("_turn") == turn).drop("_turn") if "_turn" in incoming.columns else incoming
+        current, following, now = pass_of(db, name, target, current, following, batch, conflict, keys, items is not None)
+        if items is not None:
+            touched = now if touched is None else touched.unionByName(now)
     if conflict.sets:
         check_enums(name, target, current)
-    db.publish(name, target.but(df=current, next_rid=following))
+    db.publish(name, target.but(df=current, next_rid=following, parts=1))
     if items is None:
         return None
     if touched is None:
@@ -356,6 +338,56 @@ def upsert(db, name: str, target: Table, incoming: DataFrame, conflict: Conflict
     return returned(current.join(touched, "_rid").drop("_rid").withColumnRenamed("_by", "_at"), items)
 
 
+def pass_of(db, name: str, target: Table, current: DataFrame, following: int, batch: DataFrame, conflict: Conflict, keys: list[str], tell: bool) -> tuple[DataFrame, int, DataFrame | None]:
+    """One pass over the table: its rows afterwards, the next row number, and (_rid, _by) of every tuple that
+    took effect."""
+    columns, changed = list(target.kinds), [c for c, _ in conflict.sets]
+    # SET expressions see the incoming row alone, WHERE the existing row alone: evaluated on either side.
+    batch.createOrReplaceTempView("_incoming")
+    sets = [f"({render(translated(incoming_only(tokenize(render(e)))))}) AS `_set_{c}`" for c, e in conflict.sets]
+    tuples = db.spark.sql(f"SELECT *, {', '.join(sets)} FROM _incoming AS {name}") if sets else batch
+    named = [F.col(k).alias(f"_k_{k}") for k in keys]
+    first = F.min_by(F.struct("_ord", *columns), "_ord").alias("_first")
+    last = F.max_by(F.struct("_ord", *(f"_set_{c}" for c in changed)), "_ord").alias("_last")
+    new = tuples.groupBy(*named).agg(first, last, F.count(F.lit(1)).alias("_tuples"))
+    current.createOrReplaceTempView("_existing")
+    allowed = f"coalesce(({render(translated(tokenize(render(conflict.where))))}), false)" if conflict.where else "true"
+    old = db.spark.sql(f"SELECT *, {allowed} AS _allowed FROM _existing AS {name}")
+
+    def same(left: DataFrame, right: DataFrame):
+        out = F.lit(True)
+        for k in keys:
+            out = out & left[k].eqNullSafe(right[f"_k_{k}"])
+        return out
+
+    # The keys that come in meet the table once; what is joined later is a row for each of them.
+    known = old.select("_rid", *keys).join(new.select(*(f"_k_{k}" for k in keys)), same(old, new)).groupBy(*(f"_k_{k}" for k in keys)).agg(F.min("_rid").alias("_hit"))
+    both = None
+    for k in keys:
+        c = new[f"_k_{k}"].eqNullSafe(known[f"_k_{k}"])
+        both = c if both is None else both & c
+    matched = stored(new.join(known, both, "left").select(*(new[f"_k_{k}"] for k in keys), "_first", "_last", "_tuples", "_hit"), name)
+    hits = matched.where("_hit IS NOT NULL").select("_hit", "_last")
+    merged = old.join(hits, old["_rid"] == hits["_hit"], "left")
+    act = F.col("_hit").isNotNull() & F.col("_allowed") & F.lit(not conflict.nothing)
+    values = [F.when(act, F.col(f"_last._set_{c}").cast(TYPES[target.kinds[c]])).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in columns]
+    merged = merged.select("_rid", *values, F.when(act, F.col("_last._ord")).alias("_by"))
+    again = F.col("_tuples") > 1
+    values = [F.when(again, F.col(f"_last._set_{c}").cast(TYPES[target.kinds[c]])).otherwise(F.col(f"_first.{c}")).alias(c) if c in changed else F.col(f"_first.{c}").alias(c) for c in columns]
+    fresh = matched.where("_hit IS NULL").select((F.col("_first._ord") + F.lit(following)).alias("_rid"), *values, F.col("_first._ord").alias("_by"))
+    step = stored(merged.unionByName(fresh), name)
+    top = step.agg(F.max("_rid")).first()[0]
+    now = None
+    if tell:
+        effect = step.where("_by IS NOT NULL").select("_rid", "_by")
+        if conflict.nothing:
+            now = effect
+        else:  # every tuple of a key shows the row that it has in the end
+            rids = matched.select(*(f"_k_{k}" for k in keys), F.coalesce("_hit", F.col("_first._ord") + F.lit(following)).alias("_rid")).join(effect.select("_rid"), "_rid", "left_semi")
+            now = batch.join(rids, same(batch, rids)).select("_rid", F.col("_ord").alias("_by"))
+    return step.drop("_by"), max(following, -1 if top is None else top) + 1, now
+
+
 # UPDATE and DELETE
 
 
@@ -388,7 +420,7 @@ def update(db, tokens: list[Token], items: list[Token] | None, prefix: str, args
         after = after.but(kinds=new)
     done = stored(done.select("_rid", *(F.col(c).cast(TYPES[k]).alias(c) for c, k in after.kinds.items()), "_hit"), name)
     check_enums(name, table, done)
-    db.publish(name, after.but(df=done.drop("_hit")))
+    db.publish(name, after.but(df=done.drop("_hit"), parts=1))
     return returned(done.where("_hit").drop("_hit").withColumnRenamed("_rid", "_at"), items) if items is not None else None
 
 
@@ -404,5 +436,5 @@ def delete(db, tokens: list[Token], items: list[Token] | None, prefix: str, args
     table = reshaped(db, table, table.kinds)
     table.df.createOrReplaceTempView("_existing")
     done = stored(db.spark.sql(f"{prefix} SELECT *, coalesce(({test}), false) AS _hit FROM _existing AS {alias}", args=args), name)
-    db.publish(name, table.but(df=done.where("NOT _hit").drop("_hit")))
+    db.publish(name, table.but(df=done.where("NOT _hit").drop("_hit"), parts=1))
     return returned(done.where("_hit").drop("_hit").withColumnRenamed("_rid", "_at"), items) if items is not None else None

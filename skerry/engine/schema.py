@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 
 class Kind(IntEnum):
+    """Column kinds; their numbers are part of the dump format (fixed values)."""
+
     NULL = 0
     BOOL = 1
     INT = 2
@@ -94,6 +96,7 @@ class Table:
     enums: dict[str, list[str]] = field(default_factory=dict)
     locked: bool = False
     next_rid: int | None = None  # None: an attached table without row numbers
+    parts: int = 1  # written tables that ``df`` is the union of
 
     def but(self, **changes) -> Table:
         return replace(self, **({"kinds": dict(self.kinds), "enums": {k: list(v) for k, v in self.enums.items()}} | changes))

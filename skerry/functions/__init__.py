@@ -20,7 +20,8 @@ def int_mod(a: Column, b: Column) -> Column:
 
 
 def int_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, F.floor(F.abs(a / F.nullif(b, F.lit(0)))) * F.signum(a) * F.signum(b)).cast("bigint")
+    """Whole quotient of integers, towards 0; NULL for a zero divisor."""
+    return F.call_function("div", a.cast("bigint"), F.nullif(b.cast("bigint"), F.lit(0)))
 
 
 def round_half_away(x: Column, n: int | None = None) -> Column:
@@ -33,16 +34,16 @@ def byte_length(x: Column) -> Column:
 
 
 def cast_signed(x: Column) -> Column:
-    """Text that is no number counts as 0."""
-    return F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Text that is no number counts as 0; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def cast_unsigned(x: Column) -> Column:
-    return F.greatest(cast_signed(x), F.lit(0).cast("bigint"))
+    return F.when(x.isNotNull(), F.greatest(cast_signed(x), F.lit(0).cast("bigint")))
 
 
 def cast_double(x: Column) -> Column:
-    return F.coalesce(x.try_cast("double"), F.lit(0.0))
+    return F.when(x.isNotNull(), F.coalesce(x.try_cast("double"), F.lit(0.0)))
 
 
 def truthy(x: Column, dtype: str) -> Column:
@@ -91,15 +92,17 @@ def register_functions(spark: SparkSession) -> None:
     def contained(doc: object, candidate: object) -> bool:
         if isinstance(candidate, dict):
             return isinstance(doc, dict) and all(k in doc and contained(doc[k], v) for k, v in candidate.items())
-        if isinstance(doc, list):
-            wanted = candidate if isinstance(candidate, list) else [candidate]
-            return all(any(contained(d, w) for d in doc) for w in wanted)
-        return type(doc) is type(candidate) and doc == candidate or (isinstance(doc, (int, float)) and isinstance(candidate, (int, float)) and doc == candidate)
+        if isinstance(candidate, list):
+            return isinstance(doc, list) and all(any(contained(d, w) for d in doc) for w in candidate)
+        if isinstance(candidate, bool) or isinstance(doc, bool):
+            return doc is candidate
+        return doc == candidate if isinstance(doc, type(candidate)) or isinstance(doc, (int, float)) and isinstance(candidate, (int, float)) else False
 
     def json_contains(docs: pd.Series, candidates: pd.Series) -> pd.Series:
         def one(doc: str | None, candidate: str | None) -> bool:
             try:
-                return doc is not None and candidate is not None and contained(json.loads(doc), json.loads(candidate))
+                wanted = json.loads(candidate) if doc is not None and candidate is not None else None
+                return wanted is not None and contained(json.loads(doc), wanted)
             except ValueError:
                 return False
 

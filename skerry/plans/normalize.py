@@ -113,46 +113,109 @@ def date_pattern(fmt: str) -> str:
         out.append(fmt[at : m.start()])
         at = m.end()
         if m[1]:
-            out.append(DATE_LETTERS.get(m[1], "%" if m[1] == "%" else f"'{m[1]}'"))
+            out.append(DATE_LETTERS.get(m[1], "%" if m[1] == "%" else f"'%{m[1]}'"))
         else:
             out.append("''" if m[0] == "'" else f"'{m[0]}'")
     return "".join(out) + fmt[at:]
 
 
-def contains(doc: str, candidate: object, path: str = "$") -> str:
-    """Containment of a literal JSON candidate, as a built-in expression over a JSON string."""
-    got = f"get_json_object({doc}, {quoted(path)})"
+def computed_pattern(fmt: str) -> str:
+    """``date_pattern`` of a format that is an expression itself: letters outside specifiers are quoted, then
+    each specifier is replaced."""
+    out = f"""regexp_replace({fmt}, '(?<![%A-Za-z])[A-Za-z]+|(?<=%[A-Za-z])[A-Za-z]+', "'$0'")"""
+    for letter, spark in DATE_LETTERS.items():
+        out = f"replace({out}, '%{letter}', '{spark}')"
+    return f"replace({out}, '%%', '%')"
+
+
+def contains(doc: str, candidate: object) -> str:
+    """Containment of a literal JSON candidate, as a built-in expression over a JSON string: objects hold every
+    key of the candidate's, arrays an element for each of its elements, and scalars are equal in type and value
+    (numbers by value alone). A candidate that is null itself is in no document."""
+    return "false" if candidate is None else f"coalesce({_within(f'try_parse_json(CAST({doc} AS STRING))', candidate, 0)}, false)"
+
+
+def _within(doc: str, candidate: object, depth: int) -> str:
+    kind = f"schema_of_variant({doc})"
+    match candidate:
+        case None:
+            return f"is_variant_null({doc})"
+        case bool():
+            return f"({kind} = 'BOOLEAN' AND try_variant_get({doc}, '$', 'boolean') = {str(candidate).lower()})"
+        case int() | float():
+            return f"(({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {kind} LIKE 'DECIMAL%') AND try_variant_get({doc}, '$', 'double') = {float(candidate)!r}D)"
+        case str():
+            return f"({kind} = 'STRING' AND try_variant_get({doc}, '$', 'string') = {quoted(candidate)})"
+        case dict():
+            under = [_within(f"try_variant_get({doc}, {quoted(key_path(k))}, 'variant')", v, depth) for k, v in candidate.items()]
+            return "(" + " AND ".join([f"{kind} LIKE 'OBJECT%'", *under]) + ")"
+    name = f"_e{depth}"
+    each = [f"exists(try_variant_get({doc}, '$', 'array<variant>'), {name} -> coalesce({_within(name, v, depth + 1)}, false))" for v in candidate]
+    return "(" + " AND ".join([f"{kind} LIKE 'ARRAY%'", *each]) + ")"
+
+
+def key_path(key: str) -> str:
+    """The path of an object's key; single quotes around it unless it has one."""
+    return f"$['{key}']" if "'" not in key else f'$["{key}"]'
+
+
+def plain_keys(candidate: object) -> bool:
+    """Whether paths can name every key of a candidate."""
     if isinstance(candidate, dict):
-        return "(" + " AND ".join([f"{got} IS NOT NULL", *(contains(doc, v, f"{path}.{k}") for k, v in candidate.items())]) + ")"
-    if isinstance(candidate, list):
-        return "(" + " AND ".join([f"{got} IS NOT NULL", *(contains(doc, v, path) for v in candidate)]) + ")"
-    text = candidate if isinstance(candidate, str) else json.dumps(candidate)
-    return f"coalesce({got} = {quoted(text)} OR array_contains(from_json({got}, 'array<string>'), {quoted(text)}), false)"
+        return all(not ({"'", '"'} <= set(k)) and "]" not in k and k for k in candidate) and all(map(plain_keys, candidate.values()))
+    return all(map(plain_keys, candidate)) if isinstance(candidate, list) else True
+
+
+DATES = "('date', 'timestamp', 'timestamp_ntz')"
 
 
 def cast(value: str, target: str) -> str:
-    """CAST with MySQL's target types and forgiving conversions."""
+    """CAST with MySQL's target types and forgiving conversions. NULL stays NULL; text that is no number counts
+    as 0; dates count as YYYYMMDD or as seconds. typeof() is a constant, so one branch is left of each CASE."""
     base = re.match(r"\s*(\w+)", target)[1].upper()
+    text, kind = f"CAST({value} AS STRING)", f"typeof({value})"
+    truth = f"WHEN {kind} = 'boolean' THEN if({text} = 'true', 1, 0)"
     match base:
-        case "SIGNED" | "INT" | "INTEGER" | "BIGINT" | "SMALLINT" | "TINYINT":
-            return f"coalesce(try_cast({value} AS BIGINT), 0)"
-        case "UNSIGNED":
-            return f"greatest(coalesce(try_cast({value} AS BIGINT), 0), 0)"
+        case "SIGNED" | "INT" | "INTEGER" | "BIGINT" | "SMALLINT" | "TINYINT" | "UNSIGNED":
+            number = (
+                f"CASE WHEN {value} IS NULL THEN NULL {truth} WHEN {kind} IN {DATES} THEN try_cast(replace(substr({text}, 1, 10), '-', '') AS BIGINT)"
+                f" WHEN {kind} IN ('double', 'float') OR {kind} LIKE 'decimal%' THEN try_cast(try_cast({text} AS DOUBLE) AS BIGINT)"
+                f" ELSE coalesce(try_cast(trim({text}) AS BIGINT), 0) END"
+            )
+            return f"(CASE WHEN ({number}) < 0 THEN 0 ELSE ({number}) END)" if base == "UNSIGNED" else f"({number})"
         case "DOUBLE" | "FLOAT" | "REAL" | "DECIMAL" | "NUMERIC":
-            return f"coalesce(try_cast({value} AS DOUBLE), 0D)"
+            seconds = f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', try_cast({text} AS TIMESTAMP_NTZ))"
+            return f"(CASE WHEN {value} IS NULL THEN NULL {truth} WHEN {kind} IN {DATES} THEN {seconds} ELSE coalesce(try_cast(trim({text}) AS DOUBLE), 0D) END)"
         case "CHAR" | "TEXT" | "VARCHAR" | "BINARY" | "NCHAR" | "STRING":
             return f"CAST({value} AS STRING)"
         case "DATETIME" | "TIMESTAMP":
             return f"try_cast({value} AS TIMESTAMP_NTZ)"
         case "DATE":
             return f"CAST(try_cast({value} AS DATE) AS TIMESTAMP_NTZ)"
+        case "TIME":  # the clock on a fixed day
+            clock = f"coalesce(try_cast(if({text} RLIKE '^ *[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})? *$', concat('2000-01-01 ', trim({text})), NULL) AS TIMESTAMP_NTZ), try_cast({text} AS TIMESTAMP_NTZ))"
+            return f"try_cast(concat('2000-01-01 ', date_format({clock}, 'HH:mm:ss.SSSSSS')) AS TIMESTAMP_NTZ)"
         case "JSON" | "JSONB":
-            return f"to_json(try_parse_json(CAST({value} AS STRING)))"
+            return f"to_json(parse_json(CAST({value} AS STRING)))"
         case "BOOL" | "BOOLEAN":
-            return f"try_cast({value} AS BOOLEAN)"
+            return (
+                f"(CASE WHEN {value} IS NULL THEN NULL WHEN {kind} = 'boolean' THEN {text} = 'true' WHEN {kind} = 'string' THEN {text} <> ''"
+                f" WHEN {kind} IN {DATES} THEN true ELSE coalesce(try_cast({text} AS DOUBLE) <> 0, true) END)"
+            )
     return f"CAST({value} AS {target})"
 
 
+def later(value: str, sign: str, amount: str, unit: str) -> str:
+    """DATE_ADD and DATE_SUB; a day beyond the end of the month runs on into the next one."""
+    start = f"CAST({value} AS TIMESTAMP_NTZ)"
+    if unit == "WEEK":
+        return f"({start} {sign} INTERVAL '7' DAY * ({amount}))"
+    if unit not in ("MONTH", "YEAR"):
+        return f"({start} {sign} INTERVAL '1' {unit} * ({amount}))"
+    days = f"INTERVAL '1' DAY * (day({start}) - 1)"
+    return f"((({start} - {days}) {sign} INTERVAL '1' {unit} * ({amount})) + {days})"
+
+
 def month_number(x: str) -> str:
     return f"(year({x}) * 12 + month({x}))"
 
@@ -181,16 +244,19 @@ def function(name: str, args: list[list[Token]]) -> str | None:
             return f"timestampdiff({unit}, {a[1]}, {a[2]})"
         case "date_format", 2 if args[1] and (s := solid(args[1])) and s[0].kind == "string":
             return f"date_format({a[0]}, {quoted(date_pattern(literal(s[0].text)))})"
+        case "date_format", 2:
+            return f"date_format({a[0]}, {computed_pattern(a[1])})"
         case ("date_add" | "adddate" | "date_sub" | "subdate"), 2 if (s := solid(args[1])) and s[0].is_word("interval"):
             sign = "+" if name in ("date_add", "adddate") else "-"
             amount, unit = render(s[1:-1]).strip().strip("'"), s[-1].text.upper()
             if unit not in UNITS:
                 raise SqlError(f"unknown interval unit {unit}")
-            return f"(CAST({a[0]} AS TIMESTAMP_NTZ) {sign} INTERVAL '1' {unit} * ({amount}))" if unit != "WEEK" else f"(CAST({a[0]} AS TIMESTAMP_NTZ) {sign} INTERVAL '7' DAY * ({amount}))"
+            return later(a[0], sign, amount, unit)
         case "json_extract", 2:
             return f"get_json_object({a[0]}, {a[1]})"
         case "json_unquote", 1:
-            return f"CAST({a[0]} AS STRING)"
+            text = f"CAST({a[0]} AS STRING)"
+            return f"""coalesce(if({text} LIKE '"%"', try_variant_get(try_parse_json({text}), '$', 'string'), NULL), {text})"""
         case "json_parse", 1:
             return f"to_json(parse_json({a[0]}))"
         case "json_keys", 1:
@@ -220,9 +286,11 @@ def json_contains(doc: str, candidate: list[Token]) -> str:
     s = solid(candidate)
     if len(s) == 1 and s[0].kind == "string":
         try:
-            return contains(doc, json.loads(literal(s[0].text)))
+            value = json.loads(literal(s[0].text))
         except ValueError:
             return "false"
+        if plain_keys(value):
+            return contains(doc, value)
     return f"skerry_json_contains({doc}, {render(candidate).strip()})"
 
 
@@ -239,6 +307,44 @@ def operand_before(out: list[Token]) -> int:
     return max(i, 0)
 
 
+def factor(t: Token) -> bool:
+    return t.kind == "op" and t.text in ("*", "/", "%") or t.is_word("div")
+
+
+def term_before(out: list[Token]) -> int:
+    """Where the product at the end of ``out`` begins: operands with * / % DIV between them."""
+    at = operand_before(out)
+    while True:
+        i = at
+        while i and out[i - 1].kind == "space":
+            i -= 1
+        if not i or not factor(out[i - 1]):
+            return at
+        at = operand_before(out[: i - 1])
+
+
+def textual(tokens: list[Token]) -> bool:
+    """Whether an operand is text by its form: a string, or a function that gives text."""
+    s = solid(tokens)
+    if not s:
+        return False
+    if s[0].kind in ("string", "raw"):
+        return s[0].kind == "string" or s[0].text.startswith(("concat(", "upper(", "lower("))
+    return s[0].is_word("concat", "upper", "lower", "substring", "trim", "replace") and len(s) == 2 and s[1].kind == "group"
+
+
+def term_after(tokens: list[Token], i: int) -> int:
+    """Where the product that begins at ``i`` ends."""
+    end = operand_after(tokens, i)
+    while True:
+        k = end
+        while k < len(tokens) and tokens[k].kind == "space":
+            k += 1
+        if k >= len(tokens) or not factor(tokens[k]):
+            return end
+        end = operand_after(tokens, k + 1)
+
+
 def operand_after(tokens: list[Token], i: int) -> int:
     """Where the operand that begins at ``i`` ends."""
     while i < len(tokens) and (tokens[i].kind == "space" or tokens[i].text in ("-", "+")):
@@ -318,11 +424,28 @@ def translated(tokens: list[Token]) -> list[Token]:
                 s = tokenize(left) if left.startswith("'") else [raw(left)]
                 out.append(raw(json_contains(render(right).strip(), s)))
             i = end - 1
-        elif t.kind == "op" and t.text in ("/", "%") or t.is_word("div"):
+        elif t.kind == "op" and t.text == "/" or t.is_word("div"):
             end = operand_after(tokens, i + 1)
             right = render(translated(tokens[i + 1 : end])).strip()
-            out += [t, raw(f" nullif({f'CAST({right} AS BIGINT)' if t.text == '%' else right}, 0)")]
+            out += [t, raw(f" nullif({right}, 0)")]
             i = end - 1
+        elif t.kind == "op" and t.text == "%":  # of whole operands, the left one with all factors before it
+            start, end = term_before(out), operand_after(tokens, i + 1)
+            left, right = render(out[start:]).strip(), render(translated(tokens[i + 1 : end])).strip()
+            del out[start:]
+            out.append(raw(f"(CAST({left} AS BIGINT) % nullif(CAST({right} AS BIGINT), 0))"))
+            i = end - 1
+        elif t.kind == "op" and t.text == "+" and solid(out) and (textual(out[(start := term_before(out)) :]) or textual(tokens[i + 1 : term_after(tokens, i + 1)])):
+            end = term_after(tokens, i + 1)
+            left, right = render(out[start:]).strip(), render(translated(tokens[i + 1 : end])).strip()
+            del out[start:]
+            out.append(raw(f"concat(CAST({left} AS STRING), CAST({right} AS STRING))"))
+            i = end - 1
+        elif t.kind == "number" and t.text[:2].lower() == "0x":
+            out.append(raw(str(int(t.text, 16))))
+        elif t.is_word("b", "x") and i + 1 < len(tokens) and tokens[i + 1].kind == "string" and re.fullmatch("[01]+" if t.text.lower() == "b" else "[0-9a-fA-F]+", tokens[i + 1].text[1:-1]):
+            out.append(raw(str(int(tokens[i + 1].text[1:-1], 2 if t.text.lower() == "b" else 16))))
+            i += 1
         elif t.kind == "op" and t.text == "::":
             start = operand_before(out)
             end = operand_after(tokens, i + 1)

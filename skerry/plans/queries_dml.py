@@ -15,7 +15,9 @@ def written(name: str, duck_sql: str, *statements: str, select: str, casts: str
             db.attach(f"{sf_dir}/{t}.parquet", t)
         out = None
         for s in statements:
-            if s == "BEGIN":
+            if s == "ENUM":
+                db.declare_enum("t", "state", ["new", "old"])
+            elif s == "BEGIN":
                 tx = db.begin()
             elif s == "ROLLBACK":
                 tx.rollback()
@@ -56,3 +58,8 @@ written("dml_schema_widen", "SELECT * FROM (VALUES (1, 1.0), (2, 2.5)) t(id, v)"
 written("dml_schema_add_column", "SELECT n_nationkey, CASE WHEN n_nationkey = 100 THEN 'x' END AS extra FROM (SELECT n_nationkey FROM nation UNION ALL SELECT 100) t",
         "INSERT INTO nation (n_nationkey, extra) VALUES (100, 'x')", select="SELECT n_nationkey, extra FROM nation", casts="CAST(n_nationkey AS BIGINT) AS n_nationkey")
 written("dml_tx_rollback", "SELECT n_nationkey, n_name FROM nation", "BEGIN", "DELETE FROM nation WHERE n_regionkey = 1", "INSERT INTO nation (n_nationkey) VALUES (500)", "ROLLBACK", select="SELECT n_nationkey, n_name FROM nation")
+written("tx_rollback_empty", "SELECT 'old' AS state", "ENUM", "BEGIN", "INSERT INTO t (state) VALUES ('new')", "ROLLBACK", "INSERT INTO t (state) VALUES ('old')", select="SELECT state FROM t")
+written("dml_upsert_one_key", "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'v999' ELSE r_name END AS r_name FROM region",
+        "INSERT INTO region (r_regionkey, r_name) VALUES " + ", ".join(f"(1, 'v{k}')" for k in range(1000)) + " ON CONFLICT (r_regionkey) DO UPDATE SET r_name = EXCLUDED.r_name", select="SELECT r_regionkey, r_name FROM region", casts="CAST(r_regionkey AS BIGINT) AS r_regionkey")
+written("dml_upsert_select", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN (SELECT r_name FROM region WHERE r_regionkey = n_nationkey) ELSE n_name END AS n_name FROM nation",
+        "INSERT INTO nation (n_nationkey, n_name) SELECT r_regionkey, r_name FROM region ON CONFLICT (n_nationkey) DO UPDATE SET n_name = EXCLUDED.n_name", select="SELECT n_nationkey, n_name FROM nation", casts="CAST(n_nationkey AS BIGINT) AS n_nationkey")

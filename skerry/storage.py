@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder is made and set only where the session names none."""
+    """spark.checkpoint.dir; where the session names none, a local master gets a folder of its own, and a cluster,
+    whose machines would not share it, an error."""
     made = spark.sparkContext.getCheckpointDir()
     at = spark.conf.get("spark.checkpoint.dir", None) or made
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="skerry-")
     if not made:
         spark.sparkContext.setCheckpointDir(at)

@@ -121,7 +121,7 @@ def test_ddl(db):
 
 
 def test_dialect_values(db):
-    r = db.query("SELECT 5 / 0 AS z, 7 % 0 AS m, ROUND(2.5) AS r, CAST('x' AS SIGNED) AS s, LENGTH('é') AS n, JSON_CONTAINS('[1,2]', '2') AS c, JSON_CONTAINS('{\"a\":[1]}', CONCAT('{\"a\":', '1}')) AS d").first()
+    r = db.query("SELECT 5 / 0 AS z, 7 % 0 AS m, ROUND(2.5) AS r, CAST('x' AS SIGNED) AS s, LENGTH('é') AS n, JSON_CONTAINS('[1,2]', '[2]') AS c, JSON_CONTAINS('{\"a\":[1]}', CONCAT('{\"a\":', '[1]}')) AS d").first()
     assert tuple(r) == (None, None, 3, 0, 2, True, True)
 
 
@@ -131,6 +131,8 @@ def test_bindings(db):
         id: int
         name: str = dataclasses.field(metadata={"db": "user_name"})
 
+    with pytest.raises(bindings.InterfaceError):
+        bindings.connect("nowhere")
     bindings.insert_dataclass(db, "users", User(1, "Ann"))
     assert list(bindings.scan_rows(db.table("users"), User)) == [User(1, "Ann")]
     bindings.register(db, "x")
@@ -139,7 +141,110 @@ def test_bindings(db):
         con.begin()
         con.cursor().execute("INSERT INTO users (id, user_name) VALUES (?, ?)", [2, "Bob"])
         assert con.cursor().execute("SELECT id FROM users WHERE id IN (?) ORDER BY id", [[1, 2]]).fetchall() == [(1,), (2,)]
+        con.cursor().executemany("INSERT INTO users (id) VALUES (?)", [[3], [4]])
+        for sql, error in (("SELECT nothing FROM users", bindings.ProgrammingError), ("INSERT INTO users (id) VALUES ('text')", bindings.IntegrityError)):
+            with pytest.raises(error):
+                con.cursor().execute(sql)
         con.rollback()
         assert con.cursor().execute("SELECT count(*) FROM users").fetchone() == (1,)
     finally:
         bindings.unregister("x")
+
+
+def test_nested_dataclasses(db):
+    @dataclasses.dataclass
+    class Place:
+        city: str
+        zip_code: str = dataclasses.field(metadata={"db": "zip"})
+
+    @dataclasses.dataclass
+    class Person:
+        id: int
+        home: Place
+        work: Place | None = dataclasses.field(default=None, metadata={"db": "-"})
+        tags: list = dataclasses.field(default_factory=list, metadata={"to_db": ",".join, "from_db": lambda v: v.split(",") if v else []})
+
+    globals().update(Place=Place)
+    someone = Person(1, Place("Rome", "00100"), tags=["a", "b"])
+    bindings.insert_dataclass(db, "people", someone)
+    assert db.kinds("people") == {"id": Kind.INT, "city": Kind.STRING, "zip": Kind.STRING, "tags": Kind.STRING}
+    ((back),) = bindings.scan_rows(db.table("people"), Person)
+    assert (back.id, back.home, back.tags) == (someone.id, someone.home, someone.tags)
+
+
+def test_rollback_hides_what_the_transaction_made(db):
+    db.declare_enum("e", "state", ["new"])
+    tx = db.begin()
+    tx.exec("INSERT INTO e (state) VALUES ('new')")
+    assert db.query("SELECT count(*) FROM e").first()[0] == 1
+    tx.rollback()
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        db.query("SELECT state FROM e").collect()
+    db.exec("INSERT INTO e (state) VALUES ('new')")
+    assert db.query("SELECT count(*) FROM e").first()[0] == 1
+
+
+def test_upsert_of_one_key_in_one_pass(db, monkeypatch):
+    from skerry.engine import dml
+
+    passes = []
+    one = dml.pass_of
+    monkeypatch.setattr(dml, "pass_of", lambda *a: passes.append(1) or one(*a))
+    db.exec("INSERT INTO p (id, v, n) VALUES (1, 0, 0)")
+    many = ", ".join(f"({k % 2 + 1}, {k}, {k})" for k in range(1000))
+    db.exec(f"INSERT INTO p (id, v, n) VALUES {many} ON CONFLICT (id) DO UPDATE SET v = EXCLUDED.v * 2")
+    assert len(passes) == 1 and rows(db.query("SELECT id, v, n FROM p ORDER BY id")) == [(1, 1996, 0), (2, 1998, 1)]
+    got = db.query("INSERT INTO p (id, v) VALUES (3, 1), (3, 2), (1, 5) ON CONFLICT (id) DO NOTHING RETURNING id, v")
+    assert len(passes) == 2 and rows(got) == [(3, 1)]
+    # WHERE reads what the tuple before left, and a SET of the key moves the row: one after the other.
+    db.exec("INSERT INTO p (id, v) VALUES (3, 10), (3, 20), (3, 5) ON CONFLICT (id) DO UPDATE SET v = EXCLUDED.v WHERE p.v < 10")
+    assert rows(db.query("SELECT v FROM p WHERE id = 3")) == [(10,)]
+    got = db.query("INSERT INTO p (id, v) VALUES (3, 1), (3, 2) ON CONFLICT (id) DO UPDATE SET id = EXCLUDED.id + 100 RETURNING id, v")
+    assert rows(got) == [(103, 10), (3, 2)]
+
+
+def test_many_small_inserts(db, monkeypatch):
+    from skerry.engine import dml
+
+    monkeypatch.setattr(dml, "PARTS", 3)
+    for k in range(8):
+        db.exec("INSERT INTO q (id) VALUES (:k)", {"k": k})
+    assert db.tables["q"].parts <= 3 and [r[0] for r in rows(db.query("SELECT id FROM q ORDER BY id"))] == list(range(8))
+
+
+def test_enums_judge_the_stored_rows(db):
+    db.declare_enum("r", "state", ["a"])
+    with pytest.raises(SchemaError):
+        db.exec("INSERT INTO r (state) SELECT if(rand() < 2, 'b', 'a')")
+    assert db.tables["r"].df is None
+
+
+def test_save_keeps_the_snapshot_before(spark, db, tmp_path):
+    """A save that fails half way leaves what was saved last."""
+    db.exec("INSERT INTO one (id) VALUES (1)")
+    db.exec("INSERT INTO two (id) VALUES (1)")
+    db.save(str(tmp_path / "db"))
+    db.exec("INSERT INTO one (id) VALUES (2)")
+    db.publish("two", dataclasses.replace(db.tables["two"], df=db.tables["two"].df.selectExpr("_rid", "raise_error('broken') AS id")))
+    with pytest.raises(Exception, match="broken"):
+        db.save(str(tmp_path / "db"))
+    other = Database(spark)
+    other.load(str(tmp_path / "db"))
+    assert rows(other.table("one")) == [(1,)] and rows(other.table("two")) == [(1,)]
+
+
+def test_log_has_rows_and_errors(db, tmp_path):
+    db.exec("INSERT INTO t (id) VALUES (1), (2)")
+    db.save(str(tmp_path / "db"))
+    assert rows(db.query("SELECT id FROM t ORDER BY id")) == [(1,), (2,)]
+    with pytest.raises(SqlError):
+        db.exec("SELECT 1")
+    first, second = (json.loads(x) for x in (tmp_path / "db_queries.jsonl").read_text().splitlines())
+    assert (first["op"], first["rows"], first["error"]) == ("query", 2, "") and second["error"]
+
+
+def test_casts_of_null_and_dates(db):
+    r = db.query("SELECT CAST(NULL AS SIGNED) AS a, CAST(NULL AS UNSIGNED) AS b, CAST(NULL AS DOUBLE) AS c, CAST(' 7 ' AS SIGNED) AS d, CAST(DATE('2024-05-06') AS SIGNED) AS e, CAST('2.5x' AS DOUBLE) AS f, CAST(NULL AS BOOL) AS g, CAST(9007199254740993 AS SIGNED) AS h").first()
+    assert tuple(r) == (None, None, None, 7, 20240506, 0.0, None, 9007199254740993)
+    with pytest.raises(Exception, match="MALFORMED"):
+        db.query("SELECT CAST('{' AS JSON) AS j").collect()

@@ -56,3 +56,7 @@ def test_lint_masks_strings():
     assert not lint("SELECT 'a :: b RETURNING'", "mysql")
     assert len(lint("SELECT a::int FROM t WHERE x ILIKE 'a' RETURNING", "mysql")) == 3
     assert [w.target for w in lint("SELECT IFNULL(`a`, 1) LIMIT 1, 2", "postgres")] == ["postgres"] * 3
+    assert not lint("SELECT 1 -- ILIKE\n /* RETURNING */", "mysql") and not lint("SELECT `returning`, ilike.x FROM t", "generic")
+    assert lint("SELECT * FROM (SELECT x::int FROM t) y", "mysql")[0].sql.startswith("SELECT *")
+    for sql, target, n in (("SELECT 1 FROM t WHERE a = ANY (1, 2) AND b <> ALL(3)", "mysql", 2), ("SELECT a RLIKE 'x', DATE_FORMAT(d, 'y') FROM t", "postgres", 2), ("SELECT a FROM t ORDER BY a NULLS LAST", "mysql", 1), ("INSERT INTO t (a) VALUES (1) ON CONFLICT (a) DO NOTHING", "mysql", 1), ("SELECT a FROM t LIMIT 5", "postgres", 0)):
+        assert len(lint(sql, target)) == n
