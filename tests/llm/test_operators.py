@@ -7,6 +7,7 @@ import hashlib
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -140,6 +141,39 @@ def test_op1_is_brute_force(spark, sf):
     assert got == brute_components(texts_of(spark, sf), 2, 80)
 
 
+def test_op4_is_brute_force(spark, sf):
+    """Every document and item: the least edit distance of the item to any part of the text."""
+    from skerry.llm import decontaminate as D
+
+    def distance(item, text):  # Sellers' algorithm, a column of the item at a time
+        a, t = D.codes(item), D.codes(text)
+        places, column, best = np.arange(len(a) + 1), np.arange(len(a) + 1), len(a)
+        for c in t.tolist():
+            new = np.concatenate([[0], np.minimum(column[:-1] + (a != c), column[1:] + 1)])
+            column = np.minimum.accumulate(new - places) + places
+            best = min(best, int(column[-1]))
+        return best
+
+    got = {(r.doc_id, r.item_id): r.distance for r in Q.op4_decontamination(spark, sf).collect()}
+    items = {}
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect():
+        items.setdefault(D.normalised(r.text), r.item_id)
+    texts = {i: D.normalised(t or "") for i, t in texts_of(spark, sf).items()}
+    found = 0
+    for i, text in texts.items():
+        grams = set(D.grams(D.codes(text)).tolist())
+        for item, k in items.items():
+            edits, least = D.budget(len(item))
+            # The q-gram lemma again, over the whole text: fewer common grams than the bound exclude the pair.
+            if len(grams & set(D.grams(D.codes(item)).tolist())) >= min(least, len(set(D.grams(D.codes(item)).tolist())) - D.Q * edits):
+                d = distance(item, text)
+                assert ((i, k) in got) == (d <= edits) and got.get((i, k), d) == d
+                found += d <= edits
+            else:
+                assert (i, k) not in got
+    assert found == len(got) > 0
+
+
 def test_op2_held_out(spark, sf):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
     rows = {r.doc_id: r for r in Q.op2_quality(spark, "/root/testdata/sf0.01").collect()}
@@ -233,6 +267,18 @@ def test_op4(spark, sf, odd):
     assert find_contamination(odd, bench.limit(0)).count() == 0 and find_contamination(odd.limit(0), bench).count() == 0
 
 
+def test_op5_is_the_library(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=Q.vocabulary("piece_bpe_32k.model"))
+    texts = texts_of(spark, MIDDLE)
+    rows = Q.op5_sentencepiece(spark, MIDDLE).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = model.encode(texts[r.doc_id] or "")
+        assert (r.n_pieces, r.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        assert r.round_trip == (model.decode(ids) == (texts[r.doc_id] or ""))
+
+
 def test_pieces(spark, odd):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = Q.vocabulary("piece_bpe_32k.model")

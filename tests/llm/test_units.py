@@ -182,19 +182,103 @@ def test_transducer_is_the_library():
         assert t.decode(want) == model.decode(want)
 
 
-def test_unigram_takes_the_best_sum():
-    def message(number: int, data: bytes) -> bytes:
-        return bytes([number << 3 | 2, len(data)]) + data
+def field(number: int, data: bytes | int) -> bytes:
+    """A field of a protocol-buffer message."""
+
+    def varint(v: int) -> bytes:
+        return bytes([v & 127 | (128 if v > 127 else 0)]) + (varint(v >> 7) if v > 127 else b"")
+
+    return varint(number << 3) + varint(data) if isinstance(data, int) else varint(number << 3 | 2) + varint(len(data)) + data
 
-    import struct
 
-    def piece(text: str, score: float, kind: int = 1) -> bytes:
-        return message(1, message(1, text.encode()) + b"\x15" + struct.pack("<f", score) + bytes([3 << 3, kind]))
+def piece(text: str, score: float, kind: int = 1) -> bytes:
+    import struct
 
-    model = piece("<unk>", 0, 2) + piece("▁", -3) + piece("▁a", -2) + piece("b", -2) + piece("ab", -1) + piece("a", -5) + message(2, bytes([3 << 3, 1])) + message(3, bytes([4 << 3, 0]))
-    t = pieces.Transducer(model)
-    assert [t.pieces[i] for i in t.batch(["ab"])[0]] in (["▁a", "b"], ["▁", "ab"])
-    assert t.decode(t.batch(["ab"])[0].tolist()) == "ab"
+    return field(1, field(1, text.encode()) + b"\x15" + struct.pack("<f", score) + field(3, kind))
+
+
+def precompiled(rules: dict[str, str]) -> bytes:
+    """A character map as the library reads it: a double-array trie of the keys, and their texts."""
+    texts, values = b"", {}
+    for key, text in rules.items():
+        values[key.encode()] = len(texts)
+        texts += text.encode() + b"\0"
+    children = collections.defaultdict(dict)
+    for key in values:
+        for i in range(len(key)):
+            children[key[:i]][key[i]] = key[: i + 1]
+    units, used, bases = {0: 0}, {0}, set()
+    queue = [(b"", 0)]
+    while queue:
+        prefix, at = queue.pop(0)
+        labels = sorted(children[prefix]) + ([0] if prefix in values else [])
+        base = next(b for b in range(1, 1 << 20) if b not in bases and not any((b ^ c) in used or (b ^ c) == 0 for c in [0, *labels]))
+        bases.add(base)
+        used |= {base ^ c for c in labels}
+        units[at] = units[at] & 0x1FF | (at ^ base) << 10 | (256 if prefix in values else 0)
+        for c in sorted(children[prefix]):
+            units[base ^ c] = c
+            queue.append((children[prefix][c], base ^ c))
+        if prefix in values:
+            units[base] = values[prefix] | 1 << 31
+    size = -(-(max(units) + 256) // 256) * 256
+    trie = np.zeros(size, "<u4")
+    for at, unit in units.items():
+        trie[at] = unit
+    return (4 * size).to_bytes(4, "little") + trie.tobytes() + texts
+
+
+MAP = {"Ａ": "A", "ﬁ": "fi", "\n": " ", "\t": " ", "\u3000": " ", "e\u0301": "é", "\u200b": "", "½": "1/2", "日": "ni", "ab": "ba"}
+
+
+@pytest.mark.parametrize("kind", ["fold", "map", "map_fold", "user", "user_map"])
+def test_normalisers_are_the_library(kind):
+    """The public BPE model with other normalisers and symbols, against the library."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    if "fold" in kind:
+        model += field(3, field(4, 1))
+    if "map" in kind:
+        model += field(3, field(2, precompiled(MAP)))
+    if "user" in kind:
+        model += piece("<sep>", 0, 4) + piece("ingx", 0, 4) + piece("日本", 0, 4)
+    library, t = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Transducer(model)
+    random.seed(6)
+    letters = list("abcdehilnorst .,\n\tAEé日本語😀▁0１") + ["  ", "ingx", "<sep>", "ab", *MAP]
+    texts = ["", " ", "  ", "▁", " ▁ a", "a ", "a  b", "Ａ ﬁ", "\u3000a\u3000 b ", "<sep>", " <sep> x", "walking ing", "日本日", "\u200b", "a\u200b b"]
+    texts += ["".join(random.choices(letters, k=random.randint(1, 30))) for _ in range(600)]
+    for text, got in zip(texts, t.batch(texts), strict=True):
+        assert got.tolist() == library.encode(text), text
+        assert t.decode(got.tolist()) == library.decode(got.tolist()), text
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_is_the_library(fallback):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    random.seed(7)
+    words = {"".join(random.choices("abcde", k=random.randint(1, 4))) for _ in range(60)} - {"e"}
+    words |= {"▁" + w for w in random.sample(sorted(words), 20)} | {"▁", "a", "b"}
+    model = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    if fallback:
+        model += b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
+    model += b"".join(piece(w, -random.uniform(1, 9)) for w in sorted(words)) + piece("dab", 0, 4)
+    model += field(2, field(3, 1) + field(35, int(fallback))) + field(3, field(3, 1) + field(4, 1) + field(5, 1))
+    library, t = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Transducer(model)
+    texts = ["", "e", "eee", "a  b", "日本", "x y z", "日 本\nab"] + ["".join(random.choices("abcde é日", k=random.randint(1, 25))) for _ in range(800)]
+    for text, got in zip(texts, t.batch(texts), strict=True):
+        want = library.encode(text)
+        assert got.tolist() == want, text
+        assert t.decode(want) == library.decode(want), text
+
+
+def test_compiled_arcs():
+    """Character maps come back from their double array, and arcs of shared prefixes are shared."""
+    assert pieces.character_map(precompiled(MAP)) == MAP
+    arcs = pieces.Arcs()
+    for word, k in (("ab", 1), ("abc", 2), ("b", 3)):
+        arcs.add(word, k)
+    assert len(arcs.step) == 5 and arcs.longest("abcd", 0) == (3, 2) and arcs.longest("xb", 1) == (2, 3) and arcs.longest("x", 0) == (0, None)
 
 
 # Token files
