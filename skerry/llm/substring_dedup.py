@@ -12,9 +12,13 @@ that can have a deep internal node at all, in three steps:
    group holds (the reduce side of step 1 counts them), by all ``WINDOW`` words, with the anchor and its
    offset. A map task sends one of equal runs, or of equal windows, only.
 3. In each group the suffixes are ordered by prefix doubling. Neighbours in that order that agree to
-   depth ``WINDOW`` are leaves below one internal node of at least that depth: maximal repeats. A prefix
-   of ``WINDOW`` words is such a node itself, and its leaves are counted. The windows go back to their
-   documents, that are cut by them in the last step.
+   depth ``WINDOW`` are leaves below one internal node of the group's suffix tree of at least that depth:
+   maximal repeats. Nothing above these nodes and nothing below them is built. A prefix of ``WINDOW`` words
+   is such a node itself, and its leaves are counted. The windows go back to their documents, that are cut
+   by them in the last step.
+
+The number of groups' buckets follows from the bytes of all texts, so that what a task holds does not grow
+with the input.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ WINDOW = 35
 SLICE = 6 << 20
 #: Words of one group of suffixes that are ordered at a time.
 GROUP = 400_000
+#: Bytes of text for each bucket that prefixes are dealt into.
+BUCKET = 16 << 20
 P = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -283,12 +289,13 @@ def _nodes(window: int, blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatc
         yield _ranges(doc[out], start[out], start[out] + window)
 
 
-def repeated_windows(words: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
-    """Whether the window at each place of the runs (``sizes`` words each, one behind the other) starts at
-    another place too. Places less than ``window`` words before the end of a run are False.
+def deep_nodes(words: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The internal nodes of depth ``window`` or more, and of less above them, of the suffix tree of the runs
+    (``sizes`` words each, one behind the other): (suffixes in order, first and last leaf of each node in it).
+    Suffixes of less than ``window`` words have no place in it.
 
     Prefix doubling: the rank of a suffix to depth 2 d follows from its ranks to depth d at its start and
-    d words on. Equal ranks at depth ``window`` are leaves below the same internal node."""
+    d words on. Suffixes of equal rank at depth ``window`` are the leaves below one node."""
     total = len(words)
     ends = np.repeat(np.cumsum(sizes), sizes)
     place = np.arange(total)
@@ -301,12 +308,24 @@ def repeated_windows(words: np.ndarray, sizes: np.ndarray, window: int) -> np.nd
         pair = rank.astype(np.int64) * total + rank[further]
         _, rank = np.unique(pair, return_inverse=True)
         depth += step
-    out = np.zeros(total, bool)
     at = place[real]
     order = at[np.argsort(rank[at], kind="stable")]
-    same = np.flatnonzero(rank[order[1:]] == rank[order[:-1]])  # neighbours with a common node
-    out[order[same]] = True
-    out[order[same + 1]] = True
+    if not len(order):
+        return order, order, order
+    first = np.flatnonzero(np.append(True, rank[order[1:]] != rank[order[:-1]]))
+    last = np.append(first[1:], len(order)) - 1
+    inner = last > first
+    return order, first[inner], last[inner]
+
+
+def repeated_windows(words: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """Whether the window at each place of the runs starts at another place too: the leaves below deep nodes."""
+    order, first, last = deep_nodes(words, sizes, window)
+    below = np.zeros(len(order) + 1, np.int64)
+    below[first] += 1
+    below[last + 1] -= 1
+    out = np.zeros(len(words), bool)
+    out[order[np.cumsum(below[:-1]) > 0]] = True
     return out
 
 
@@ -387,13 +406,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text, kept_sha256.
 
     Words are what ASCII white space leaves of a text, unchanged; kept_text has the kept ones with one
-    space between. All windows are judged on the input. A null text has no words. Rows that repeat a
-    doc_id are judged as one document each but share what is removed; rows without one are judged and
-    cut as documents of their own. Other columns are ignored; an empty table gives no rows. Two
+    space between. All windows are judged on the input. A null text has no words. Every row is a
+    document of its own, also those without a doc_id or with one that others have. Other columns are ignored; an empty table gives no rows. Two
     different windows are taken for one only if 64-bit hashes of words collide.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-size // BUCKET))
     prefix = max(1, window - 15)
     docs = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), row_id(docs).alias("row"))
     dealt = docs.mapInArrow(partial(_anchors, window, prefix, n), "bucket int, blob binary").repartition(n, "bucket")

@@ -347,6 +347,15 @@ def test_crowded_anchors(spark, sf, monkeypatch):
     assert got == brute_repeats(texts_of(spark, sf), 35)
 
 
+def test_repeats_of_one_doc_id(spark):
+    same, own = " ".join(f"s{i}" for i in range(40)), " ".join(f"u{i}" for i in range(80))
+    rows = [(1, same), (1, same), (1, own), (2, "x " + same), (None, own + " y")]
+    got = rows_of(remove_repeats(documents(spark, rows), 35), "doc_id", "n_removed", "kept_text")
+    assert got == sorted([(1, 40, ""), (1, 40, ""), (1, 80, ""), (2, 40, "x"), (None, 80, "y")], key=repr)
+    got = rows_of(remove_repeats(documents(spark, rows[:3]), 35), "doc_id", "n_removed", "kept_text")
+    assert got == sorted([(1, 40, ""), (1, 40, ""), (1, 0, own)], key=repr)
+
+
 def test_repeats_edges(spark, odd):
     got = {r.doc_id: r for r in remove_repeats(odd, 4).collect()}
     assert got[3].n_words == 0 and got[5].kept_text == "" and got[6].kept_text == "amet x" or got[6].kept_text == "x"

@@ -389,6 +389,22 @@ def test_repeated_windows():
         assert (substring_dedup.repeated_windows(words, np.array(sizes), 7) == want).all()
 
 
+def test_deep_nodes():
+    """The leaves below each node are exactly the places of one repeated window."""
+    random.seed(9)
+    sizes = np.array([30, 12, 25, 6, 40])
+    words = np.array([random.randint(0, 1) for _ in range(sizes.sum())], np.uint64)
+    order, first, last = substring_dedup.deep_nodes(words, sizes, 7)
+    got = sorted(sorted(order[a : b + 1].tolist()) for a, b in zip(first, last, strict=True))
+    places, at = collections.defaultdict(list), 0
+    for s in sizes.tolist():
+        for p in range(at, at + s - 6):
+            places[tuple(words[p : p + 7])].append(p)
+        at += s
+    assert got == sorted(v for v in places.values() if len(v) > 1)
+    assert all(len(x) == 0 for x in substring_dedup.deep_nodes(words[:5], np.array([5]), 7))
+
+
 # Quality
 
 
