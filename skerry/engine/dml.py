@@ -362,11 +362,11 @@ def pass_of(db, name: str, target: Table, current: DataFrame, following: int, ba
 
     # The keys that come in meet the table once; what is joined later is a row for each of them.
     known = old.select("_rid", *keys).join(new.select(*(f"_k_{k}" for k in keys)), same(old, new)).groupBy(*(f"_k_{k}" for k in keys)).agg(F.min("_rid").alias("_hit"))
-    both = None
+    known = known.withColumnsRenamed({f"_k_{k}": f"_known_{k}" for k in keys})
+    both = F.lit(True)
     for k in keys:
-        c = new[f"_k_{k}"].eqNullSafe(known[f"_k_{k}"])
-        both = c if both is None else both & c
-    matched = stored(new.join(known, both, "left").select(*(new[f"_k_{k}"] for k in keys), "_first", "_last", "_tuples", "_hit"), name)
+        both = both & F.col(f"_k_{k}").eqNullSafe(F.col(f"_known_{k}"))
+    matched = stored(new.join(known, both, "left").select(*(f"_k_{k}" for k in keys), "_first", "_last", "_tuples", "_hit"), name)
     hits = matched.where("_hit IS NOT NULL").select("_hit", "_last")
     merged = old.join(hits, old["_rid"] == hits["_hit"], "left")
     act = F.col("_hit").isNotNull() & F.col("_allowed") & F.lit(not conflict.nothing)

@@ -19,10 +19,10 @@ from skerry.plans.normalize import SqlError, date_pattern, to_spark
         ("a = ANY(1, 2)", "a  IN (1, 2)"),
         ("a <> ALL(SELECT b FROM u)", "a  NOT IN (SELECT b FROM u)"),
         ("a / b", "a / nullif(b, 0)"),
-        ("a % (b + 1)", "a % nullif(CAST((b + 1) AS BIGINT), 0)"),
+        ("a % (b + 1)", "(CAST(a AS BIGINT) % nullif(CAST((b + 1) AS BIGINT), 0))"),
         ("t.d->>'$.x'", "get_json_object(t.d, '$.x')"),
         ("LENGTH(x)", "octet_length(x)"),
-        ("CAST(x AS SIGNED)", "coalesce(try_cast(x AS BIGINT), 0)"),
+        ("CAST(x AS CHAR)", "CAST(x AS STRING)"),
         ("x::text", "CAST(x AS STRING)"),
         ("a STRAIGHT_JOIN b ON a.x = b.x", "a FULL OUTER JOIN b ON a.x = b.x"),
         ("COUNT(*) FILTER (WHERE a = 1)", "COUNT(*) FILTER (WHERE a = 1)"),
