@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What the operators ask of Arrow batches where the session does not say: bounded bytes, as texts can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors where neither PYTHONPATH nor the working folder has it."""
+    """Bounds the session's Arrow batches where it has no setting of its own, and sends this package to the
+    executors where neither PYTHONPATH nor the working folder has it."""
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     on_path = os.environ.get("PYTHONPATH", "").split(":")
     if root in map(os.path.abspath, filter(None, on_path)) or os.path.abspath(os.getcwd()) == root:
@@ -65,13 +74,14 @@ def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
     return rows.select(*(docs[c] for c in docs.columns), F.coalesce(named, other).alias(key)), key
 
 
-def where_texts(docs: DataFrame, stays: Callable[[list[bytes]], Iterable[bool]]) -> DataFrame:
-    """The rows of ``docs`` whose text (null as empty) passes; whole texts in bounded slices, nothing is shuffled."""
+def where_texts(docs: DataFrame, stays: Callable[[list[bytes]], Iterable[bool]], limit: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` whose text (null as empty) passes; whole texts in slices of about ``limit`` bytes,
+    nothing is shuffled."""
     at = docs.columns.index("text")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices([b], at):
+            for part in slices([b], at, limit):
                 yield part.filter(pa.array(stays(text_bytes(part.column(at))), pa.bool_()))
 
     return docs.mapInArrow(over, docs.schema)
@@ -105,6 +115,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 def slices(batches: Iterable[pa.RecordBatch], column: str | int = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` holds about ``limit`` bytes in each; bounds Python's memory."""
+    if TaskContext.get() is not None:  # in a worker: memory that is free goes back to the machine
+        pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -30,6 +30,8 @@ Q = 8
 ERROR = 0.08
 #: Characters, about, of benchmark items that one pass over the documents holds; more items take more passes.
 BLOCK = 4 << 20
+#: Bytes of text that are searched together.
+SLICE = 1 << 19
 PRIME = 0x9E3779B97F4A7C15 | 1
 BITS = 21
 
@@ -237,7 +239,7 @@ def block_items(path: str, block: int, error: float) -> Items:
 
 def _search(path: str, block: int, error: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item_id", "start", "end", "distance"]
-    for b in slices(batches, limit=1 << 20):
+    for b in slices(batches, limit=SLICE):
         items = block_items(path, block, error)
         texts = [normalised(x.decode("utf-8", "replace")) for x in text_bytes(b.column("text"))]
         docs = b.column("doc_id").to_pylist()
@@ -277,5 +279,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, l
     text where it lies: nothing is shuffled. Null texts hold none; items as in ``find_contamination``."""
     path, number = blocks(benchmark, limit)
     for k in range(number):
-        docs = where_texts(docs, partial(_clean, path, k, error))
+        docs = where_texts(docs, partial(_clean, path, k, error), SLICE)
     return docs

@@ -14,14 +14,13 @@ the corpus costs one row for each mapped batch, not one for each copy.
 from __future__ import annotations
 
 import hashlib
-import string
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, spread_join, text_bytes, work_path, written
+from .common import partitions, slices, spread_join, text_bytes, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -123,9 +122,19 @@ def key_of(text: bytes) -> bytes:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         keys = [key_of(t) for t in text_bytes(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary())], ["doc_id", "key"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("plain"), pa.array(keys, pa.binary())], ["doc_id", "plain", "key"])
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """A written table of doc_id, plain (a hash of the text as it is) and key of every row."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), plain(docs).alias("plain"))
+    return written(rows.mapInArrow(_keys, "doc_id long, plain long, key binary"), "digests")
+
+
+def plain(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +170,15 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _packed(index.content)
 
 
+def live_index(rows: DataFrame, forget: DataFrame | None = None) -> DataFrame:
+    """key, keep_id and group_size of every live digest of ``rows`` (doc_id, key)."""
+    state = "key binary, keep_id long, group_size long"
+    parts = rows.select("doc_id", "key").mapInArrow(_combined, state)
+    if forget is not None:
+        parts = parts.unionByName(forget.select("key", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size")))
+    return parts.repartition(partitions(rows.sparkSession), "key").mapInArrow(_indexed, state)
+
+
 def exact_dedup(docs: DataFrame, forget: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -170,31 +188,29 @@ def exact_dedup(docs: DataFrame, forget: DataFrame | None = None) -> DataFrame:
     ``forget``: a table with a column key (SHA-256 and length, as ``key_of`` makes it) of digests to
     delete from the index; rows of these texts come back with a null keep_id and kept false.
     """
-    spark = docs.sparkSession
-    path = work_path(spark, "digests")
-    docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_keys, "doc_id long, key binary").write.parquet(path)
-    rows = spark.read.parquet(path)
-    state = "key binary, keep_id long, group_size long"
-    parts = rows.mapInArrow(_combined, state)
-    if forget is not None:
-        parts = parts.unionByName(forget.select("key", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size")))
-    index = parts.repartition(partitions(spark), "key").mapInArrow(_indexed, state)
+    rows = digests(docs)
     kept = F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("group_size").isNotNull(), F.lit(False))
     sha256 = F.lower(F.hex(F.substring("key", 1, 32)))
-    return spread_join(rows, index, "key", "doc_id").select("doc_id", "keep_id", "group_size", kept.alias("kept"), sha256.alias("text_sha256"))
+    joined = spread_join(rows.select("doc_id", "key"), live_index(rows, forget), "key", "doc_id")
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), sha256.alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns: of equal texts one, of the largest doc_id (none is smaller
     than any). Rows that share a doc_id are judged by their own texts; of rows equal in both one stays.
 
-    Rows meet the kept ones by text and doc_id, so the copies of one text are spread by their ids."""
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    digest = F.sha2(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), 256)
-    stays = exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"))
-    stays = written(stays.toDF("_stay_id", "_stay_sha", "_stay_rows"), "stays")
-    rows = docs.withColumn("_own_sha", digest)
-    rows = rows.join(stays, (rows["_own_sha"] == stays["_stay_sha"]) & rows["doc_id"].cast("long").eqNullSafe(stays["_stay_id"]))
+    Rows meet the kept ones by doc_id and a hash of the text, so the copies of one text are spread by their
+    ids, and texts are streamed past a table of numbers, not sorted."""
+    rows = digests(docs)
+    index = live_index(rows).withColumnRenamed("key", "live")
+    kept = rows.join(index, (rows["key"] == index["live"]) & rows["doc_id"].eqNullSafe(index["keep_id"]))
+    # Texts that differ in case alone can share the largest doc_id too: one of them stays.
+    kept = kept.groupBy("key", "plain").agg(F.first("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("rows"))
+    stays = kept.groupBy("key").agg(F.min(F.struct("plain", "keep_id", "rows")).alias("one"))
+    stays = written(stays.select(F.col("one.plain").alias("_stay_plain"), F.col("one.keep_id").alias("_stay_id"), F.col("one.rows").alias("_stay_rows")), "stays")
+    met = (plain(docs) == stays["_stay_plain"]) & docs["doc_id"].cast("long").eqNullSafe(stays["_stay_id"])
+    out = docs.join(stays.hint("shuffle_hash"), met)
     if stays.where("_stay_rows > 1").limit(1).count():
-        rows = rows.where("_stay_rows = 1").unionByName(rows.where("_stay_rows > 1").dropDuplicates(["_own_sha"]))
-    return rows.select(*(f"`{c}`" for c in docs.columns))
+        again = out.where("_stay_rows > 1").withColumn("_stay_plain", plain(docs))
+        out = out.where("_stay_rows = 1").unionByName(again.dropDuplicates(["_stay_plain", "_stay_id"]))
+    return out.select(*(f"`{c}`" for c in docs.columns))

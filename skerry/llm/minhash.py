@@ -137,7 +137,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     leaders = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
     wanted = members.unionByName(leaders).withColumn("doc_id", F.coalesce("b", "a"))
-    rows = docs.join(wanted, "doc_id").select("a", "part", "b", "text")
+    # Texts are streamed past the wanted numbers, not sorted.
+    rows = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("a", "part", "b", "text")
     sets = rows.mapInArrow(partial(_sets, width), "a long, part int, b long, set binary")
     n = partitions(docs.sparkSession)
     return sets.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_compared, "a long, b long, both long, either long, differ array<long>")
@@ -256,4 +257,4 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     too, counts as a document of a larger id than all others (rows equal in both are judged as one)."""
     rows, key = with_row(docs)
     gone = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), width, percent).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return rows.join(gone, rows[key] == gone["_copy"], "left_anti").select(*docs.columns)
+    return rows.join(gone.hint("shuffle_hash"), rows[key] == gone["_copy"], "left_anti").select(*docs.columns)

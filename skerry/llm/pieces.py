@@ -40,8 +40,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Entries that a worker keeps of its caches (whole cuts; cuts without their last character where no
 #: piece spans it, such as a full stop); beyond, each is encoded once for each batch.
-CACHE = 300_000
-STEMS = 900_000
+CACHE = 200_000
+STEMS = 500_000
 PAIRS = 1_000_000
 
 

@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import slices, text_bytes, written
+from .common import slices, text_bytes, where_texts, written
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -220,21 +219,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> Dat
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the classifier does not reject, each judged by its
-    own text. The rows are written once beside their statistics and filtered where they lie: no text is
-    shuffled. Nulls, repeats and empty cases as in ``score_quality``."""
-    at = docs.columns.index("text")
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, at):
-            rows = [statistics(t) for t in text_bytes(part.column(at))]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.float64()))], [*part.schema.names, "_own_stats"])
-
-    rows = written(docs.mapInArrow(measured, T.StructType([*docs.schema.fields, T.StructField("_own_stats", T.ArrayType(T.DoubleType()))])), "measured")
-    model = fit(rows.select(F.col("doc_id").cast("long"), F.col("_own_stats").alias("stats")), labels)
-
-    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, at):
-            stays = model.scores(matrix(part.column(part.num_columns - 1))) >= least
-            yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]).filter(pa.array(stays))
-
-    return rows.mapInArrow(good, docs.schema)
+    own text. The model is fitted on statistics alone and then goes to the rows, that are filtered where they
+    lie: no text is shuffled or stored. Nulls, repeats and empty cases as in ``score_quality``."""
+    model = fit(written(document_statistics(docs), "statistics"), labels)
+    return where_texts(docs, lambda texts: (model.scores(np.array([statistics(t) for t in texts])) >= least).tolist())
