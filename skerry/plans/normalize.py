@@ -273,6 +273,8 @@ def function(name: str, args: list[list[Token]]) -> str | None:
             return f"CAST({name}({a[0]}) AS BIGINT)"
         case "convert", 2:
             return cast(a[0], a[1])
+        case ("cast" | "convert"), 1 if not any(t.is_word("as", "using") for t in args[0]):  # a plain function of one argument
+            return f"({a[0]})"
         case "convert", 1 if (i := next((i for i, t in enumerate(args[0]) if t.is_word("using")), None)) is not None:
             return f"CAST({render(args[0][:i]).strip()} AS STRING)"
         case "cast", 1 if (i := next((i for i, t in reversed(list(enumerate(args[0]))) if t.is_word("as")), None)) is not None:

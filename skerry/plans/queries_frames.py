@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import functions as S
-from ..operators.relational import anti_join, as_of_join, semi_join, top_per_group
+from ..operators.relational import anti_join, as_of_join, semi_join, top_per_group, union_ragged
 from ..streaming.windows import tumbling_counts
 from .catalog import frame
 
@@ -57,3 +57,11 @@ def as_of_bonus(spark, t):
 @frame("SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling_bonus(spark, t):
     return tumbling_counts(t("events"), "ts", "1 hour", ["event_type"])
+
+
+@frame("SELECT r_regionkey AS k, r_name AS name, CAST(NULL AS INTEGER) AS up FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT CAST(NULL AS INTEGER), r_name, r_regionkey FROM region")
+def df_union_ragged(spark, t):
+    regions, nations = t("region"), t("nation")
+    first = regions.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
+    second = nations.select(F.col("n_regionkey").alias("up"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return union_ragged(first, second, regions.select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("up")))

@@ -248,3 +248,34 @@ def test_casts_of_null_and_dates(db):
     assert tuple(r) == (None, None, None, 7, 20240506, 0.0, None, 9007199254740993)
     with pytest.raises(Exception, match="MALFORMED"):
         db.query("SELECT CAST('{' AS JSON) AS j").collect()
+
+
+def test_single_values():
+    from skerry.engine.values import Value, compare, equal, like_match, make_value, sort_key
+
+    assert [make_value(v).kind for v in (None, True, 3, 2.5, "x", datetime.date(2024, 1, 2), {"a": 1}, (1,))] == [0, 1, 2, 3, 4, 5, 6, 6]
+    assert make_value(datetime.date(2024, 1, 2)).v == datetime.datetime(2024, 1, 2) and Value(Kind.NULL).text() == ""
+    less = [(None, 0), (False, 1), (1, 1.5), ("a", "b"), ("9", datetime.date(2024, 1, 1)), ("2024-01-01", datetime.date(2024, 1, 2)), (10, "9")]
+    assert all(compare(make_value(a), make_value(b)) == -1 and compare(make_value(b), make_value(a)) == 1 for a, b in less)
+    assert equal(make_value(1), make_value(1.0)) and equal(make_value(True), make_value(1)) and equal(make_value(None), make_value(None))
+    assert [v.v for v in sorted(map(make_value, [2, None, 1.5, True]), key=sort_key)] == [None, True, 1.5, 2]
+    assert like_match("a%c_", "abbcd") and like_match("%", "") and not like_match("_", "") and like_match("a.%", "a.\n")
+    assert like_match("10!%", "10%", "!") and not like_match("10!%", "100", "!") and not like_match("a!", "a!", "!")
+
+
+def test_clocks_and_plain_conversions(db):
+    today = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    r = db.query("SELECT NOW() AS a, CURDATE() AS b, CURTIME() AS c, CURRENT_TIMESTAMP AS d, JSON_PARSE('{ \"a\": [1, 2] }') AS j, CONVERT('é' USING utf8mb4) AS u, CONVERT(5) AS f, SYSDATE() AS s").first()
+    assert all(abs((x - today).total_seconds()) < 86400 for x in (r.a, r.c, r.d, r.s)) and r.b.hour == r.b.minute == 0
+    assert (r.j, r.u, r.f) == ('{"a":[1,2]}', "é", 5)
+
+
+def test_as_of_join_over_days(spark):
+    from skerry.operators.relational import as_of_join
+
+    t = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    left = spark.createDataFrame([(1, "a", t(1)), (2, "a", t(5, 3)), (3, "a", t(5, 1)), (4, "b", t(9)), (5, None, t(3)), (6, "a", None), (7, "a", t(20)), (8, "b", t(1))], "id int, k string, at timestamp")
+    right = spark.createDataFrame([("a", t(2), 10), ("a", t(5, 2), 20), ("b", t(2), 30), (None, t(1), 40), ("a", None, 50), ("b", t(9), None)], "k string, at timestamp, v int")
+    got = {r.id: r.v for r in as_of_join(left, right, "k", "k", "at", "at", ["v"]).collect()}
+    assert got == {1: None, 2: 20, 3: 10, 4: None, 5: None, 6: None, 7: 20, 8: None}
+    assert as_of_join(left.limit(0), right, "k", "k", "at", "at", ["v"]).count() == 0
