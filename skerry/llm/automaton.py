@@ -241,6 +241,16 @@ def compiled(trees: list, anywhere: bool) -> Dfa:
     return Dfa(table, min(rules, default=256 * len(order)), rules, place[block[0]], dead)
 
 
+def earliest(tree):
+    """A tree whose matches end where those of ``tree`` can end first: a last part that goes on and on is cut to
+    its least. In the automaton of all rules such tails would multiply the states of each other."""
+    if tree[0] == "cat" and tree[1]:
+        return ("cat", [*tree[1][:-1], earliest(tree[1][-1])])
+    if tree[0] == "rep" and tree[3] is None and tree[2]:
+        return ("rep", tree[1], tree[2], tree[2])
+    return tree
+
+
 class Scanner:
     """Leftmost, non-overlapping, longest matches of each rule, all rules in one pass over the bytes.
 
@@ -252,7 +262,7 @@ class Scanner:
     def __init__(self, patterns: dict[str, str]):
         trees = [Parser(p).parse() for p in patterns.values()]
         self.names = list(patterns)
-        self.dfa = compiled(trees, anywhere=True)
+        self.dfa = compiled([earliest(t) for t in trees], anywhere=True)
         self.forward = [compiled([t], anywhere=False) for t in trees]
         self.backward = [compiled([reverse(t)], anywhere=False) for t in trees]
 

@@ -21,6 +21,11 @@ RULES: dict[str, tuple[str, int]] = {
     "github": (r"gh[pousr]_[A-Za-z0-9]+", 24),
     "slack": (r"xox[abprs]-[A-Za-z0-9\-]+", 15),
     "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+    "google": (r"AIza[0-9A-Za-z_\-]+", 39),
+    "payment": (r"[rs]k_(live|test)_[0-9A-Za-z]+", 24),
+    "gitlab": (r"glpat-[0-9A-Za-z_\-]+", 26),
+    "npm": (r"npm_[0-9A-Za-z]+", 40),
+    "web_token": (r"eyJ[0-9A-Za-z_\-]+\.eyJ[0-9A-Za-z_\-]+\.[0-9A-Za-z_\-]+", 0),
 }
 BASE = ("assign", "access", "hex")
 LEAST_VALUE = 8
