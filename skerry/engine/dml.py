@@ -46,8 +46,8 @@ def behind(tokens: list[Token], i: int, n: int) -> int:
     return i
 
 
-#: Written tables that a snapshot may be the union of; then they are written as one.
-PARTS = 32
+#: Written tables that a snapshot may be the union of.
+PARTS = 16
 
 
 @dataclass
@@ -92,13 +92,14 @@ def reshaped(db, table: Table, kinds: dict[str, Kind], wipe: bool = False) -> Ta
     """``table`` with columns of ``kinds``: new ones NULL, widened ones cast."""
     if table.df is None or wipe:
         df = db.spark.createDataFrame([], struct(kinds))
-        return table.but(df=df, kinds=kinds, next_rid=0)
+        return table.but(df=df, kinds=kinds, next_rid=0, parts=())
     df, start = table.df, table.next_rid
     if start is None:  # an attached table gets row numbers with its first write
         df = stored(numbered(df, 0), "numbered")
         start = (df.agg(F.max("_rid")).first()[0] or 0) + 1
     columns = [F.col(c).cast(TYPES[k]).alias(c) if c in table.kinds else F.lit(None).cast(TYPES[k]).alias(c) for c, k in kinds.items()]
-    return table.but(df=df.select("_rid", *columns), kinds=kinds, next_rid=start)
+    same = kinds == table.kinds and df is table.df
+    return table.but(df=df.select("_rid", *columns), kinds=kinds, next_rid=start, parts=table.parts if same else ())
 
 
 def check_enums(name: str, table: Table, df: DataFrame) -> None:
@@ -254,15 +255,33 @@ def append(db, name: str, target: Table, incoming: DataFrame, items: list[Token]
     rows = incoming.withColumn("_rid", F.col("_ord") + F.lit(target.next_rid)).drop("_ord")
     rows = stored(rows.select("_rid", *target.kinds), name)
     check_enums(name, target, rows)  # what is stored, since a source may give other rows when it runs again
-    top = rows.agg(F.max("_rid")).first()[0]
+    top, count = rows.agg(F.max("_rid"), F.count(F.lit(1))).first()
     following = target.next_rid if top is None else top + 1
-    df, parts = (target.df.unionByName(rows), target.parts + 1) if target.next_rid else (rows, 1)
-    if parts > PARTS:
-        df, parts = stored(df, name), 1
+    parts = (target.parts or ((target.df, target.next_rid),) if target.next_rid else ()) + ((rows, count),)
+    parts = merged(name, parts)
+    df = parts[0][0]
+    for part, _ in parts[1:]:
+        df = df.unionByName(part)
     db.publish(name, target.but(df=df, next_rid=following, parts=parts))
     return returned(rows.withColumnRenamed("_rid", "_at"), items) if items is not None else None
 
 
+def merged(name: str, parts: tuple[tuple[DataFrame, int], ...]) -> tuple[tuple[DataFrame, int], ...]:
+    """At most PARTS parts: beyond, the last ones are written as one, as far back as a part has not more than
+    twice the rows of all behind it. So a large table is not written again for small inserts, and a row is
+    written a logarithmic number of times."""
+    if len(parts) <= PARTS:
+        return parts
+    i, total = len(parts) - 1, parts[-1][1]
+    while i and (parts[i - 1][1] <= 2 * total or len(parts) - i < PARTS // 2):
+        i -= 1
+        total += parts[i][1]
+    df = parts[i][0]
+    for part, _ in parts[i + 1 :]:
+        df = df.unionByName(part)
+    return (*parts[:i], (stored(df, name), total))
+
+
 def conflict_of(tokens: list[Token]) -> Conflict:
     do = find(tokens, "do")
     if do < 0:
@@ -330,7 +349,7 @@ def upsert(db, name: str, target: Table, incoming: DataFrame, conflict: Conflict
             touched = now if touched is None else touched.unionByName(now)
     if conflict.sets:
         check_enums(name, target, current)
-    db.publish(name, target.but(df=current, next_rid=following, parts=1))
+    db.publish(name, target.but(df=current, next_rid=following, parts=()))
     if items is None:
         return None
     if touched is None:
@@ -420,7 +439,7 @@ def update(db, tokens: list[Token], items: list[Token] | None, prefix: str, args
         after = after.but(kinds=new)
     done = stored(done.select("_rid", *(F.col(c).cast(TYPES[k]).alias(c) for c, k in after.kinds.items()), "_hit"), name)
     check_enums(name, table, done)
-    db.publish(name, after.but(df=done.drop("_hit"), parts=1))
+    db.publish(name, after.but(df=done.drop("_hit"), parts=()))
     return returned(done.where("_hit").drop("_hit").withColumnRenamed("_rid", "_at"), items) if items is not None else None
 
 
@@ -436,5 +455,5 @@ def delete(db, tokens: list[Token], items: list[Token] | None, prefix: str, args
     table = reshaped(db, table, table.kinds)
     table.df.createOrReplaceTempView("_existing")
     done = stored(db.spark.sql(f"{prefix} SELECT *, coalesce(({test}), false) AS _hit FROM _existing AS {alias}", args=args), name)
-    db.publish(name, table.but(df=done.where("NOT _hit").drop("_hit"), parts=1))
+    db.publish(name, table.but(df=done.where("NOT _hit").drop("_hit"), parts=()))
     return returned(done.where("_hit").drop("_hit").withColumnRenamed("_rid", "_at"), items) if items is not None else None

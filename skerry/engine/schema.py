@@ -96,7 +96,7 @@ class Table:
     enums: dict[str, list[str]] = field(default_factory=dict)
     locked: bool = False
     next_rid: int | None = None  # None: an attached table without row numbers
-    parts: int = 1  # written tables that ``df`` is the union of
+    parts: tuple[tuple[DataFrame, int], ...] = ()  # what ``df`` is the union of, with rows; none: one table
 
     def but(self, **changes) -> Table:
         return replace(self, **({"kinds": dict(self.kinds), "enums": {k: list(v) for k, v in self.enums.items()}} | changes))

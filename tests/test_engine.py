@@ -206,10 +206,19 @@ def test_upsert_of_one_key_in_one_pass(db, monkeypatch):
 def test_many_small_inserts(db, monkeypatch):
     from skerry.engine import dml
 
+    written = []
+    one = dml.stored
     monkeypatch.setattr(dml, "PARTS", 3)
+    monkeypatch.setattr(dml, "stored", lambda df, name: written.append(name) or one(df, name))
+    db.exec("INSERT INTO q (id) SELECT id FROM range(1000)")
+    large = db.tables["q"].parts[0][0]
     for k in range(8):
-        db.exec("INSERT INTO q (id) VALUES (:k)", {"k": k})
-    assert db.tables["q"].parts <= 3 and [r[0] for r in rows(db.query("SELECT id FROM q ORDER BY id"))] == list(range(8))
+        db.exec("INSERT INTO q (id) VALUES (:k)", {"k": -k})
+    parts = db.tables["q"].parts
+    assert parts[0][0] is large and len(parts) <= 3 and sum(n for _, n in parts) == 1008 and len(written) < 15
+    assert [r[0] for r in rows(db.query("SELECT id FROM q WHERE id <= 0 ORDER BY id"))] == [*range(-7, 0), 0, 0]
+    db.exec("INSERT INTO q (id, more) VALUES (5, 'x')")
+    assert db.query("SELECT count(*), count(more) FROM q").first()[:] == (1009, 1)
 
 
 def test_enums_judge_the_stored_rows(db):
