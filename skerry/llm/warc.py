@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, slices, work_path
+from .common import filesystem, partitions, slices, work_path, written
 
 LEVEL = 1
 CHUNK = 1 << 20
@@ -163,6 +163,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0)
     # Only groups of two or more take part in the join; the partial aggregate shrinks hot groups first.
     first = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
     revisits = keys.join(first, "sha").where("page_id <> first").select("page_id", "sha", "first").distinct()
+    revisits = written(revisits, "revisits")  # a table, so that Spark knows its size: no payload is shuffled where it is small
     typed = rows.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
     manifest = typed.mapInArrow(_with_digest, "page_id long, url string, html binary, payload_digest string, refers_to long").mapInArrow(partial(_write, folder), "file string, index_file string, records long, bytes long")
     path = f"{folder}/manifest"
