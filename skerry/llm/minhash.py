@@ -257,4 +257,5 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     too, counts as a document of a larger id than all others (rows equal in both are judged as one)."""
     rows, key = with_row(docs)
     gone = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), width, percent).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return rows.join(gone.hint("shuffle_hash"), rows[key] == gone["_copy"], "left_anti").select(*docs.columns)
+    gone = written(gone, "copies")  # a table, so that Spark knows its size: no text is shuffled where it is small
+    return rows.join(gone, rows[key] == gone["_copy"], "left_anti").select(*docs.columns)
