@@ -96,7 +96,7 @@ def reshaped(db, table: Table, kinds: dict[str, Kind], wipe: bool = False) -> Ta
     df, start = table.df, table.next_rid
     if start is None:  # an attached table gets row numbers with its first write
         df = stored(numbered(df, 0), "numbered")
-        start = (df.agg(F.max("_rid")).first()[0] or 0) + 1
+        start = 1 << 60  # beyond all numbers that rows get without a shuffle
     columns = [F.col(c).cast(TYPES[k]).alias(c) if c in table.kinds else F.lit(None).cast(TYPES[k]).alias(c) for c, k in kinds.items()]
     same = kinds == table.kinds and df is table.df
     return table.but(df=df.select("_rid", *columns), kinds=kinds, next_rid=start, parts=table.parts if same else ())
