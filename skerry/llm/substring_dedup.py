@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, row_id, slices, text_bytes
+from .common import partitions, slices, text_bytes, with_row
 
 WINDOW = 35
 SLICE = 6 << 20
 #: Words of one group of suffixes that are ordered at a time.
 GROUP = 400_000
 #: Bytes of text for each bucket that prefixes are dealt into.
-BUCKET = 16 << 20
+BUCKET = 32 << 20
 P = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -413,7 +413,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0
     n = max(partitions(docs.sparkSession), -(-size // BUCKET))
     prefix = max(1, window - 15)
-    docs = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), row_id(docs).alias("row"))
+    docs, key = with_row(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    docs = docs.withColumnRenamed(key, "row")
     dealt = docs.mapInArrow(partial(_anchors, window, prefix, n), "bucket int, blob binary").repartition(n, "bucket")
     crowded = dealt.mapInArrow(partial(_crowded, GROUP // (2 * window - prefix)), "crowd long")
     live = dealt.mapInArrow(_survivors, "key long, row long, start int")
