@@ -56,4 +56,4 @@ def frame(duck_sql: str | None):
     return add
 
 
-from . import queries_aggregate, queries_dml, queries_frames, queries_join, queries_scalar, queries_scan, queries_subquery, queries_window  # noqa: E402, F401
+from . import queries_aggregate, queries_dml, queries_frames, queries_join, queries_scalar, queries_scan, queries_services, queries_subquery, queries_window  # noqa: E402, F401

@@ -21,7 +21,7 @@ both("agg_min_max_date", "SELECT o_orderstatus, min(o_orderdate) AS first, max(o
 both("agg_expr", f"SELECT o_orderstatus, {SUM.format('o_totalprice')} / count(*) AS mean FROM orders GROUP BY o_orderstatus")
 both("agg_coalesce", "SELECT s.s_suppkey, coalesce(CAST(sum(l.l_linenumber) AS BIGINT), 0) AS n FROM supplier s LEFT JOIN lineitem l ON s.s_suppkey = l.l_suppkey AND l.l_quantity > 49 GROUP BY s.s_suppkey")
 pair("agg_array", "SELECT n_regionkey, concat_ws(',', sort_array(collect_list(n_name))) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey")
-dialect("agg_array_null", "SELECT n_regionkey, ARRAY_AGG(NULLIF(n_regionkey, n_regionkey)) IS NULL AS empty FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, true AS empty FROM nation GROUP BY n_regionkey")
+dialect("agg_array_null", "SELECT n_regionkey, ARRAY_AGG(CASE WHEN n_nationkey > 21 THEN n_nationkey END) IS NULL AS empty FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, max(n_nationkey) <= 21 AS empty FROM nation GROUP BY n_regionkey")
 pair("agg_first_in_group", "SELECT o_custkey, min_by(o_orderpriority, o_orderkey) AS first FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS first FROM orders GROUP BY o_custkey")
 both("agg_group_expr", "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY year(o_orderdate)")
 both("agg_group_ordinal", "SELECT upper(o_orderpriority) AS p, count(*) AS n FROM orders GROUP BY 1")
