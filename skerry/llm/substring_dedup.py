@@ -421,9 +421,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # An anchor in GROUP words or so can be crowded, so the list is short.
     live = live.join(F.broadcast(crowded), F.col("key") == F.col("crowd"), "left").select("row", F.when(F.col("crowd").isNull(), F.col("start")).otherwise(-1 - F.col("start")).alias("start"))
     live = live.groupBy("row").agg(F.collect_list("start").alias("runs"))
-    # Both joins read the texts from the same exchange, so both take the same columns of it.
+    # Both joins read the texts from the same exchange, so both take the same columns of it, and stream them past
+    # the numbers of a bucket instead of sorting them.
     keyed = docs.repartition(n, "row")
-    dealt = keyed.join(live, "row", "left").select("doc_id", "row", "text", "runs").mapInArrow(partial(_suffixes, window, prefix, n), "bucket int, blob binary")
+    dealt = keyed.join(live.hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "runs").mapInArrow(partial(_suffixes, window, prefix, n), "bucket int, blob binary")
     ranges = dealt.repartition(n, "bucket").mapInArrow(partial(_trees, window), "row long, low int, high int")
     ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    return keyed.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return keyed.join(ranges.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
