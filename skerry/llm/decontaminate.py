@@ -13,6 +13,7 @@ pass from there; neither the driver nor the plan holds benchmark texts.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import partial
 
@@ -134,19 +135,20 @@ class Items:
         self.seen[(self.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
     def whole(self, c: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, place in it) of the first occurrence of each short item in each text."""
+        """(text, item, place in it) of the occurrences of each short item in each text, from left to right without
+        overlaps."""
         for m, hashes, numbers in self.short:
             h = grams(c, m)
             low = np.searchsorted(hashes, h)
             at = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == h))
             doc = np.searchsorted(starts, at, "right") - 1
-            done: set[tuple[int, int]] = set()
+            done: dict[tuple[int, int], int] = {}  # where the last occurrence ends
             for a, d in zip(at.tolist(), doc.tolist(), strict=True):
                 k = int(low[a])
                 while k < len(hashes) and hashes[k] == h[a]:
                     item = int(numbers[k])
-                    if (d, item) not in done and np.array_equal(c[a : a + m], codes(self.texts[item])):
-                        done.add((d, item))
+                    if a >= done.get((d, item), 0) and np.array_equal(c[a : a + m], codes(self.texts[item])):
+                        done[d, item] = a + m
                         yield d, item, a - int(starts[d])
                     k += 1
 
@@ -163,7 +165,8 @@ class Items:
 
 
 def matches(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(number of the text, number of the item, start, end, distance), the best match for each pair."""
+    """(number of the text, number of the item, start, end, distance) of every region that matches: of regions of
+    one pair that overlap the best one, the leftmost of equals."""
     joined = codes("\x00".join(texts))
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
@@ -178,7 +181,7 @@ def matches(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int
     least = items.least[item]
     diagonal = at - place + (1 << 20)
     doc = np.searchsorted(starts, at, "right") - 1
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    regions: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
     seen: set[tuple[int, int, int]] = set()
     for shift in (0, 1):  # bands of 2 * half, each overlapping the next by half
         band = (diagonal // half + shift) // 2
@@ -191,14 +194,20 @@ def matches(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int
             if (d, i, low) in seen:
                 continue
             seen.add((d, i, low))
-            if best.get((d, i), (1,))[0] == 0:
-                continue
             e = int(items.edits[i])
             found = aligned(items.texts[i], texts[d], low - e, low + 2 * h + e, e)
-            if found and ((d, i) not in best or found < best[d, i]):
-                best[d, i] = found
-    for (d, i), (distance, start, end) in sorted(best.items()):
-        yield d, i, start, end, distance
+            if found:
+                regions.setdefault((d, i), set()).add(found)
+    for (d, i), all_found in sorted(regions.items()):
+        starts, kept = [], []
+        for distance, start, end in sorted(all_found):
+            # Matches that begin or end in one another are one region, seen through neighbouring bands.
+            k = bisect(starts, start)
+            if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or end <= starts[k]):
+                starts.insert(k, start)
+                kept.insert(k, (start, end, distance))
+        for region in kept:
+            yield d, i, *region
 
 
 def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,11 +258,11 @@ def _search(path: str, block: int, error: float, batches: Iterator[pa.RecordBatc
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, limit: int = BLOCK) -> DataFrame:
-    """A row for each document and benchmark item that it holds: doc_id, item_id, start, end (code points
-    of the normalised text), distance (edits), of the best match.
+    """A row for each region of a document that matches a benchmark item: doc_id, item_id, start, end (code points
+    of the normalised text), distance (edits). Of overlapping regions of one item the best counts.
 
     Every whole text is searched for every item. Items with the same normalised text count once, under
-    the smallest item_id; items of less than Q characters match without edits, the first occurrence counts;
+    the smallest item_id; items of less than Q characters match without edits;
     empty and null items match nothing, and neither do null texts. Repeated rows
     each give their matches; other columns are ignored; empty tables give no rows. The benchmark (a
     stated query set) is taken in blocks of about ``limit`` characters, so what a task holds does not grow with it.
