@@ -13,15 +13,18 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 #: encoded once for each batch.
 WORDS = 300_000
 PARTS = 900_000
+#: Punctuation that may stand behind the letters of a simple word; an apostrophe has rules of its own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are encoded together.
 SLICE = 4 << 20
 
@@ -89,7 +94,7 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -100,56 +105,87 @@ class Encoder:
         """(letters in lower case, ASCII punctuation behind them) if the word is just that. Letters that are more
         than letters in lower case, as a dotted capital I with its combining dot, are not: their marks go with
         the punctuation."""
-        core = word.rstrip("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+        core = word.rstrip(MARKS)
         if core.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and max(core) < "ɐ")):
             low = core.lower()
             if len(low) == len(core) and low.isalpha():
                 return low, word[len(core) :]
         return None
 
-    def _encode_parts(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens, all in one call; a pre-token's last id is the only one with a word end."""
-        known = {p: self.parts[p] for p in parts & self.parts.keys()}
-        new = list(parts.difference(known))
-        if new:
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens, those that are not known in one call; a pre-token's last id is the only one
+        with a word end."""
+        out = list(map(self.parts.get, parts))
+        places = [i for i, x in enumerate(out) if x is None]
+        if places:
+            new = [parts[i] for i in places]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(new):
-                data, at = ids.astype(self.dtype).tobytes(), 0
-                for p, end in zip(new, (cuts * self.dtype.itemsize).tolist(), strict=True):
-                    known[p] = data[at:end]
+                data, at, found = ids.astype(self.dtype).tobytes(), 0, []
+                for end in (cuts * self.dtype.itemsize).tolist():
+                    found.append(data[at:end])
                     at = end
             else:
-                known.update(zip(new, self.whole(new), strict=True))
-            room = PARTS - len(self.parts)
-            self.parts.update((p, known[p]) for p in new[: max(0, room)])
-        return known
+                found = self.whole(new)
+            for i, x in zip(places, found, strict=True):
+                out[i] = x
+            room = max(0, PARTS - len(self.parts))
+            self.parts.update(zip(new[:room], found[:room], strict=True))
+        return out
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        if not self.by_words:
-            return self.whole(texts)
-        odd = {i: None for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        distinct = set().union(*split)
-        words = self.words
-        found = {w: words[w] for w in distinct & words.keys()}
+    def _encode_words(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct words of any kind, one by one."""
+        known = {w: self.words[w] for w in self.words.keys() & set(distinct)}
         simple, hard = {}, []
-        for w in distinct.difference(found):
+        for w in distinct:
+            if w in known:
+                continue
             if s := self._simple(w):
                 simple[w] = s
             else:
                 hard.append(w)
-        parts = self._encode_parts({p for s in simple.values() for p in s if p})
-        new = {w: parts[a] + parts[b] if b else parts[a] for w, (a, b) in simple.items()}
+        names = list({p for s in simple.values() for p in s})
+        parts = dict(zip(names, self._encode_parts(names), strict=True))
+        new = {w: parts[a] + parts[b] for w, (a, b) in simple.items()}
         if hard:
             new.update(zip(hard, self.whole(hard), strict=True))
         room = WORDS - len(self.words)
         if room > 0:
             self.words.update(list(new.items())[:room])
-        found.update(new)
-        out = [b"".join(map(found.__getitem__, ws)) for ws in split]
-        if odd:
-            for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+        known.update(new)
+        return [known[w] for w in distinct]
+
+    def _encoded(self, distinct: pa.Array) -> pa.Array:
+        """Ids of distinct words. ASCII letters with punctuation behind them are taken apart by Arrow, as _simple
+        does it; the other words go through _encode_words."""
+        core = pc.ascii_rtrim(distinct, MARKS)
+        easy = pc.ascii_is_alpha(core)
+        low = pc.ascii_lower(core.filter(easy)).dictionary_encode()
+        tail = pc.ascii_ltrim(distinct.filter(easy), string.ascii_letters).dictionary_encode()
+        ids = [pa.array(self._encode_parts(x.dictionary.to_pylist()), pa.large_binary()).take(x.indices) for x in (low, tail)]
+        plain = pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary()))
+        other = pa.array(self._encode_words(distinct.filter(pc.invert(easy)).to_pylist()), pa.large_binary())
+        first = easy.to_numpy(zero_copy_only=False)
+        place = np.where(first, np.cumsum(first) - 1, len(plain) + np.cumsum(~first) - 1)
+        return pa.concat_arrays([plain, other]).take(pa.array(place))
+
+    def batch(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text, null as empty."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.by_words:
+            return self.whole(column.to_pylist())
+        odd = pc.match_substring_regex(column, "[\x1c-\x1f]")
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", column))
+        words = split.flatten().dictionary_encode()
+        flat = self._encoded(words.dictionary).take(words.indices)
+        cuts = split.offsets.to_numpy() - split.offsets[0].as_py() + flat.offset
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[cuts].tolist() if len(flat) else [0] * len(cuts)
+        data = memoryview(flat.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in pairwise(ends)]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        if whole:
+            for i, ids in zip(whole, self.whole([column[i].as_py() for i in whole]), strict=True):
                 out[i] = ids
         return out
 
@@ -174,8 +210,7 @@ def _write(folder: str, tokenizer: str, end_id: int, batches: Iterator[pa.Record
         if out is None:
             fs.create_dir(base, recursive=True)
             out = fs.open_output_stream(f"{base}/{leaf}.ids.tmp", compression=None, buffer_size=1 << 20)
-        texts = [x or "" for x in b.column("text").to_pylist()]
-        for doc, ids in zip(b.column("doc_id").to_pylist(), enc.batch(texts), strict=True):
+        for doc, ids in zip(b.column("doc_id").to_pylist(), enc.batch(b.column("text")), strict=True):
             ids += end
             n = len(ids) // width
             body = (BODY.pack(0, n, width | NAMELESS) if doc is None else BODY.pack(doc, n, width)) + ids

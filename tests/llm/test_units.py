@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skerry.llm import decontaminate, exact_dedup, html_text, minhash, pieces, quality, secrets, substring_dedup, token_files, warc
@@ -322,6 +323,23 @@ def test_encoder_is_the_library_on_random_words():
             assert np.frombuffer(ids, enc.dtype).tolist() == want.ids, text
 
 
+def test_ascii_words_stay_in_arrow(monkeypatch):
+    """op3: words of ASCII letters and punctuation are taken apart without a call for each; a column may be a slice."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary("word_bpe_49k.json")
+    tk, enc = tokenizers.Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = ["left out", "The cat, THE Cat. cat", None, "", "  (lead) two  spaces\u3000wide.,; ", "a\x1cb c", "end... it's 3rd <|x|>", "Éa été, naïve"]
+    column = pa.array(texts, pa.string()).slice(1)
+    want = [tk.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    for _ in range(2):  # the second time from the caches
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.batch(column)] == want
+    assert enc.batch([]) == [] and enc.batch([None, " "]) == [b"", b""]
+    asked = []
+    monkeypatch.setattr(token_files.Encoder, "_simple", staticmethod(lambda w: asked.append(w)))
+    fresh = token_files.Encoder(path)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in fresh.batch(texts[1:2])] == want[:1] and not asked
+
+
 def test_records_notice_damage():
     ids = np.array([5, 6, 2], "<u2").tobytes()
     body = token_files.BODY.pack(9, 3, 2) + ids
