@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir
 
+Held = TypeVar("Held")
+
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
@@ -113,10 +117,38 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_HELD: dict[object, object] = {}
+_HELD_FOR: int | None = None
+
+
+def held(key: object, make: Callable[[], Held]) -> Held:
+    """What ``make`` gives. A worker process keeps the last such object for the tasks of a stage, and until a
+    task of another stage needs something else."""
+    global _HELD_FOR
+    task = TaskContext.get()
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    _HELD_FOR = task.stageId() if task is not None else None
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drops what this process holds; workers live on from stage to stage, so its memory goes back to the machine."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.system_memory_pool().release_unused()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str | int = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that ``column`` holds about ``limit`` bytes in each; bounds Python's memory."""
-    if TaskContext.get() is not None:  # in a worker: memory that is free goes back to the machine
+    """Cuts batches so that ``column`` holds about ``limit`` bytes in each; bounds Python's memory. In a worker
+    it also drops what tasks of other stages have left there."""
+    task = TaskContext.get()
+    if task is not None:  # in a worker: memory that is free goes back to the machine
         pa.set_memory_pool(pa.system_memory_pool())
+        if task.stageId() != _HELD_FOR:
+            let_go()
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, slices, text_bytes, where_texts, work_path, written
+from .common import filesystem, held, partitions, slices, text_bytes, where_texts, work_path, written
 
 Q = 8
 #: Edits that a match may have, as a share of the item's length.
@@ -230,20 +230,18 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK) -> tuple[str, int]:
     return path, number
 
 
-_HELD: dict[tuple[str, int, float], Items] = {}
-
-
 def block_items(path: str, block: int, error: float) -> Items:
-    """The items of one block; a worker process holds the last one it used."""
-    if (path, block, error) not in _HELD:
+    """The items of one block; a worker process holds the last one it used while the stage lasts."""
+
+    def read() -> Items:
         fs, base = filesystem(f"{path}/block={block}")
         files = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
         rows: list[tuple[int, str]] = []
         for f in sorted(x.path for x in files if x.path.endswith(".parquet")):
             rows += zip(*pq.read_table(f, filesystem=fs, columns=["item_id", "text"]).to_pydict().values(), strict=True)
-        _HELD.clear()
-        _HELD[path, block, error] = Items(sorted(rows, key=lambda r: (r[0] is None, r)), error)
-    return _HELD[path, block, error]
+        return Items(sorted(rows, key=lambda r: (r[0] is None, r)), error)
+
+    return held(("items", path, block, error), read)
 
 
 def _search(path: str, block: int, error: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import held, slices, text_bytes
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -385,15 +385,14 @@ class Transducer:
         return b"".join(out).decode("utf-8", "replace")
 
 
-_COMPILED: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
-    """One for each worker process."""
-    if path not in _COMPILED:
+    """The last one that a worker process used stays in it, with its caches, while the stage lasts."""
+
+    def compiled() -> Transducer:
         with open(path, "rb") as f:
-            _COMPILED[path] = Transducer(f.read())
-    return _COMPILED[path]
+            return Transducer(f.read())
+
+    return held(("transducer", path), compiled)
 
 
 def listed(ids: list[np.ndarray]) -> pa.Array:

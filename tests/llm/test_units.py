@@ -289,6 +289,23 @@ def test_unigram_is_the_library(fallback):
         assert t.decode(want) == library.decode(want), text
 
 
+def test_workers_let_go_between_stages(monkeypatch):
+    """A transducer stays in a worker for the tasks of a stage, and not into a stage of another operator."""
+    import types
+    import weakref
+
+    from skerry.llm import common
+
+    stage = [1]
+    monkeypatch.setattr(common.TaskContext, "get", lambda: types.SimpleNamespace(stageId=lambda: stage[0]))
+    path = vocabulary("piece_bpe_32k.model")
+    batches = [pa.RecordBatch.from_pydict({"text": ["a b", None]})]
+    held = weakref.ref(pieces.transducer(path))
+    assert len(list(common.slices(batches))) and held() is pieces.transducer(path)
+    stage[0] = 2
+    assert len(list(common.slices(batches))) and held() is None
+
+
 def test_compiled_arcs():
     """Character maps come back from their double array, and arcs of shared prefixes are shared."""
     assert pieces.character_map(precompiled(MAP)) == MAP
