@@ -25,11 +25,13 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, slices, work_path
+from .common import filesystem, held, partitions, slices, work_path
 
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qII")
@@ -38,12 +40,15 @@ NAMELESS = 1 << 31
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 #: Entries that a worker keeps of its caches (words, and the parts they consist of); beyond, each is
 #: encoded once for each batch.
-WORDS = 300_000
-PARTS = 900_000
+WORDS = 200_000
+PARTS = 300_000
 #: Punctuation that may stand behind the letters of a simple word; an apostrophe has rules of its own.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are encoded together.
 SLICE = 4 << 20
+#: Characters that go to the tokenizer in a call; its records of a token take far more room than the ids.
+CALL = 1 << 14
+MANIFEST = "part long, file string, index_file string, docs long, ids long, bytes long"
 
 
 def masked(crc: int) -> int:
@@ -77,6 +82,18 @@ def by_words(config: dict) -> bool:
     return marks and plain and not spaced and not config.get("truncation") and not config.get("padding") and all(config.get(k) == v for k, v in WORD_RULES.items())
 
 
+def calls(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in order, in runs of CALL characters; a longer text is a run of its own."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > CALL:
+            yield texts[first:i]
+            first, size = i, 0
+        size += len(text)
+    if texts:
+        yield texts[first:]
+
+
 class Encoder:
     """The tokenizers library's ids. Where the file's rules are WORD_RULES, a text's ids are those of its words in
     order and each distinct word of a batch is encoded once; texts with separators that Python and the tokenizer
@@ -97,8 +114,11 @@ class Encoder:
         self.parts: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        out: list[bytes] = []
+        for some in calls(texts):
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            out.extend(np.array(x.ids, self.dtype).tobytes() for x in found)
+        return out
 
     @staticmethod
     def _simple(word: str) -> tuple[str, str] | None:
@@ -113,21 +133,23 @@ class Encoder:
         return None
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of distinct pre-tokens, those that are not known in one call; a pre-token's last id is the only one
-        with a word end."""
+        """Ids of distinct pre-tokens, those that are not known many in a call; a pre-token's last id is the only
+        one with a word end."""
         out = list(map(self.parts.get, parts))
         places = [i for i, x in enumerate(out) if x is None]
         if places:
             new = [parts[i] for i in places]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(new):
-                data, at, found = ids.astype(self.dtype).tobytes(), 0, []
-                for end in (cuts * self.dtype.itemsize).tolist():
-                    found.append(data[at:end])
-                    at = end
-            else:
-                found = self.whole(new)
+            found: list[bytes] = []
+            for some in calls(new):
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(some):
+                    data, at = ids.astype(self.dtype).tobytes(), 0
+                    for end in (cuts * self.dtype.itemsize).tolist():
+                        found.append(data[at:end])
+                        at = end
+                else:
+                    found += self.whole(some)
             for i, x in zip(places, found, strict=True):
                 out[i] = x
             room = max(0, PARTS - len(self.parts))
@@ -190,14 +212,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One for each worker process, for the stage that encodes."""
+    return held(("encoder", path), partial(Encoder, path))
 
 
 def _write(folder: str, tokenizer: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +253,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     A null text counts as empty: its document is the end id alone. Rows that repeat a doc_id follow
     each other in the order of their texts. Rows without doc_id come first, in the order of their texts,
     and are read back without one. An empty table gives an empty manifest; other columns are ignored.
+    The manifest's rows, one a task that succeeded, come to the driver, which writes them as one file.
     """
     spark = docs.sparkSession
     folder = folder or work_path(spark, "token-files")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     path = f"{folder}/manifest"
-    ordered.mapInArrow(partial(_write, folder, tokenizer, end_id), "part long, file string, index_file string, docs long, ids long, bytes long").write.parquet(path)
-    return spark.read.parquet(path)
+    fs, base = filesystem(path)
+    if fs.get_file_info(base).type != FileType.NotFound:
+        raise FileExistsError(path)
+    found = ordered.mapInArrow(partial(_write, folder, tokenizer, end_id), MANIFEST).toArrow().sort_by("part")
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/_part.parquet", compression=None) as f:  # a name that readers skip
+        pq.write_table(found, f)
+    fs.move(f"{base}/_part.parquet", f"{base}/part-00000.parquet")
+    return spark.read.schema(MANIFEST).parquet(path)
 
 
 def records(data: bytes, offsets: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -260,7 +285,7 @@ def records(data: bytes, offsets: np.ndarray) -> Iterator[tuple[int | None, np.n
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, "file"):
         for file, index_file, base in zip(*(b.column(c).to_pylist() for c in ("file", "index_file", "base")), strict=True):
             fs, path = filesystem(file)
             with fs.open_input_stream(filesystem(index_file)[1], compression=None) as f:
@@ -295,7 +320,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, "file"):
         for file, index_file in zip(b.column("file").to_pylist(), b.column("index_file").to_pylist(), strict=True):
             fs, path = filesystem(index_file)
             with fs.open_input_stream(path, compression=None) as f:

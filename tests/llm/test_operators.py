@@ -223,6 +223,18 @@ def test_token_files_edges(spark, odd):
     assert read_token_files(write_token_files(odd.limit(0), path)).count() == 0
 
 
+def test_token_files_manifest(spark, odd, tmp_path):
+    """One file, written by the driver from the rows of the tasks that succeeded; a folder is not written to twice."""
+    pytest.importorskip("tokenizers")
+    path, folder = Q.vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/out"
+    manifest = write_token_files(odd, path, folder=folder)
+    assert [p.name for p in (tmp_path / "out" / "manifest").iterdir()] == ["part-00000.parquet"]
+    rows = manifest.orderBy("part").collect()
+    assert sum(r.docs for r in rows) == odd.count() and {r.file for r in rows} == {f"{folder}/{p.name}" for p in (tmp_path / "out").glob("*.ids")}
+    with pytest.raises(FileExistsError):
+        write_token_files(odd, path, folder=folder)
+
+
 def test_token_files_in_shuffled_order(spark, sf):
     pytest.importorskip("tokenizers")
     path = Q.vocabulary("word_bpe_49k.json")

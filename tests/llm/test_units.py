@@ -357,6 +357,45 @@ def test_ascii_words_stay_in_arrow(monkeypatch):
     assert [np.frombuffer(x, enc.dtype).tolist() for x in fresh.batch(texts[1:2])] == want[:1] and not asked
 
 
+def test_tokenizer_calls_are_bounded():
+    """op3: many new words go to the tokenizer some at a time, with the same ids."""
+    tokenizers = pytest.importorskip("tokenizers")
+    random.seed(4)
+    words = ["".join(random.choices("abcdeXYZ", k=9)) for _ in range(6000)] + [f"{k}é" for k in range(9000)]
+    texts = [" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)] + ["", "x" * (token_files.CALL + 5), "a b"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary(name)
+        tk, enc, sizes = tokenizers.Tokenizer.from_file(path), token_files.Encoder(path), []
+
+        class Spy:
+            def encode_batch_fast(self, texts, add_special_tokens, tk=tk, sizes=sizes):
+                sizes.append((sum(map(len, texts)), max(len(w) for t in texts for w in t.split(" "))))
+                return tk.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+        enc.tokenizer = Spy()
+        want = [x.ids for x in tk.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.batch(texts)] == want
+        assert all(size <= 1.5 * token_files.CALL or longest > token_files.CALL for size, longest in sizes) and len(sizes) > 3
+
+
+def test_workers_let_go_of_the_encoder(monkeypatch):
+    """op3: the tokenizer and what is cached of it stay for the stage that encodes, not for the one that reads."""
+    import types
+    import weakref
+
+    from skerry.llm import common
+
+    pytest.importorskip("tokenizers")
+    stage = [1]
+    monkeypatch.setattr(common.TaskContext, "get", lambda: types.SimpleNamespace(stageId=lambda: stage[0]))
+    path = vocabulary("word_bpe_49k.json")
+    batches = [pa.RecordBatch.from_pydict({"text": ["a b", None]})]
+    held = weakref.ref(token_files.encoder(path))
+    assert len(list(common.slices(batches))) and held() is token_files.encoder(path)
+    stage[0] = 2
+    assert list(token_files._reader(iter([]))) == [] and held() is None
+
+
 def test_records_notice_damage():
     ids = np.array([5, 6, 2], "<u2").tobytes()
     body = token_files.BODY.pack(9, 3, 2) + ids
